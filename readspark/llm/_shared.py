@@ -56,7 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes that ``df`` holds."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shards_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
