@@ -119,9 +119,9 @@ def thresholds(measured: DataFrame, reach: float = 3.0, least_rows: int = 50) ->
         found[level] = q.groupBy(*keys).agg(F.max("total").alias(f"{level}_n"), *[F.max(F.when(F.col("stat") == s, F.col(x))).alias(f"{level}_{s}_{x}") for s in FENCES for x in ("q1", "q3")])
     joined = groups.alias("g").join(found["own"].alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source"))).drop(F.col("o.lang"), F.col("o.source"))
     joined = joined.join(found["language"].alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).drop(F.col("l.lang"))
-    # One row: the corpus's quartiles, in a column of every group.
-    joined = joined.withColumn("_one", F.lit(1)).join(F.broadcast(found["corpus"].withColumn("_one", F.lit(1))), "_one").drop("_one")
-    pick = lambda s, x: F.when(F.col("own_n") >= least_rows, F.col(f"own_{s}_{x}")).when(F.col("language_n") >= least_rows, F.col(f"language_{s}_{x}")).otherwise(F.col(f"corpus_{s}_{x}"))
+    # One row of a few numbers, whatever the input: the corpus's quartiles.
+    corpus = found["corpus"].first()
+    pick = lambda s, x: F.when(F.col("own_n") >= least_rows, F.col(f"own_{s}_{x}")).when(F.col("language_n") >= least_rows, F.col(f"language_{s}_{x}")).otherwise(F.lit(corpus[f"corpus_{s}_{x}"]).cast("long"))
     out = []
     for s, (above, below) in FENCES.items():
         width = (pick(s, "q3") - pick(s, "q1")) * reach
