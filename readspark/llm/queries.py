@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, language_id, packing, quality_rules, simhash, token_counts, warc
+from . import decontaminate, language_id, packing, quality_rules, simhash, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_packing, op5_simhash, op7_decontaminate, op8_token_counts, op9_language_id)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_packing, op5_simhash, op7_decontaminate, op8_token_counts, op9_language_id, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
