@@ -12,7 +12,7 @@ Equality is that of 80 bits (64 and the check bits, from independent mixes of tw
 hashes): at 10^13 windows about 40 pairs of different windows would agree by chance, at
 10^10 none is expected.
 
-Within its run, a task keeps only the least document of each window; the others are known
+Within its run, a task keeps only the least document of each window (with all places in it); the others are known
 to repeat and go straight back to their documents. So a window that very many documents
 have is one entry for each run, and a shard stays a bounded share of all windows.
 
@@ -95,7 +95,7 @@ def runs(docs: DataFrame, window: int, shards: int) -> DataFrame:
             more = docs[twice] > docs[twice][least]
             rows = [(k % shards, k, None, None, d, p) for k, d, p in _removals(docs[twice][more], places[twice][more], shards)]
             keep = np.ones(len(hashes), bool)
-            keep[twice[again]] = False
+            keep[twice[more]] = False
             hashes, checks, docs, places = hashes[keep], checks[keep], docs[keep], places[keep]
             at = np.searchsorted(shard_of(hashes, shards), np.arange(shards + 1))
             for k in np.flatnonzero(np.diff(at)):
