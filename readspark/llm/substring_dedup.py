@@ -40,7 +40,7 @@ from ._shared import new_path, shards_for, stored
 from ._text import Words, blocks, mix, ragged, span_hashes, words
 
 #: Windows that a task gathers before it writes runs.
-RUN_WINDOWS = 3_000_000
+RUN_WINDOWS = 1_500_000
 RUN = "shard int, bucket int, hashes binary, checks binary, docs binary, places binary"
 
 
