@@ -1,10 +1,305 @@
-"""The queries of this engine, and SQL that gives the same rows."""
+"""The queries of this engine, and SQL that gives the same rows.
+
+All run over the reads of ``plans.reads``: every character of every document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.alphabet import SIZES
+from .functions.information import SCALE_BITS, cumulative_frequencies, entropy
+from .functions.keys import KEY_TYPES, decode, key_sql, spec_of
+from .operators import binning, blocks, models, select, stats
+from .plans.reads import BASES_SQL, reads
+from .session import ship
+from .sources import container
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Key types of the queries over several models at once.
+RATED = ["dummy", "generic_ao1_qo0_pb0", "generic_ao2_qo0_pb0", "generic_ao4_qo0_pb0", "generic_ao0_qo1_pb0", "generic_ao0_qo0_pb4", "light_ao0_qo3_pb0_qm4", "light_ao3_qo3_pb0_qm8"]
+CHOICE = ["generic_ao1_qo0_pb0", "generic_ao2_qo0_pb0", "generic_ao0_qo0_pb4"]
+BLOCK = 300_000
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(reads(ship(spark), sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _counts_sql(spec_name: str, symbol: str = "acid", name: str = "counts") -> str:
+    return f"""{name} as (select key as spec, {symbol} as symbol, count(*) as n
+  from (select {key_sql(spec_of(spec_name))} as key, acid, q from bases window w as (partition by read_id order by pos)) group by all)"""
+
+
+def _contexts_sql(spec_name: str, symbol: str = "acid", tag: str = "") -> str:
+    return f"""{_counts_sql(spec_name, symbol, "counts" + tag)},
+probs{tag} as (select spec, symbol, n, sum(n) over (partition by spec) as n_ctx, sum(n) over () as total from counts{tag})"""
+
+
+def _stats_sql(symbol: str, size: int, label: str) -> str:
+    return f"""with {BASES_SQL}, c as (select {symbol} as symbol, count(*) as n from bases group by 1)
+select cast(d.s as int) as symbol, {label} as label, coalesce(c.n, 0) as n, case when (select sum(n) from c) > 0 then round(coalesce(c.n, 0) * 100.0::double / (select sum(n) from c), 6) else 0.0 end as pct
+from range({size}) d(s) left join c on c.symbol = d.s"""
+
+
+@query(_stats_sql("acid", 5, "substr('NACTG', cast(d.s + 1 as bigint), 1)"))
+def symbol_stats_acids(r: DataFrame) -> DataFrame:
+    return stats.symbol_stats(r, "acids")
+
+
+@query(_stats_sql("q", 94, "chr(cast(d.s + 33 as int))"))
+def symbol_stats_quals(r: DataFrame) -> DataFrame:
+    return stats.symbol_stats(r, "q_scores")
+
+
+def _ctx_counts(spec_name: str, kind: str):
+    return lambda r: models.context_counts(r, spec_of(spec_name), kind)
+
+
+for _name, _spec, _kind in (("ctx_counts_generic", "generic_ao4_qo1_pb2", "acids"), ("ctx_counts_light", "light_ao3_qo3_pb0_qm8", "acids"), ("ctx_counts_position", "generic_ao0_qo0_pb4", "q_scores")):
+    _f = _ctx_counts(_spec, _kind)
+    _f.__name__ = _name
+    query(f"with {BASES_SQL}, {_counts_sql(_spec, 'acid' if _kind == 'acids' else 'q')} select spec, symbol, n from counts")(_f)
+
+DECODED = spec_of("generic_ao2_qo1_pb2")
+
+
+@query(
+    f"""with {BASES_SQL}, k as (select distinct {key_sql(DECODED)} as spec from bases window w as (partition by read_id order by pos))
+select spec, printf('%08X', spec) as hex, concat(substr('NACTG', (spec >> 2 & 31) // 5 % 5 + 1, 1), substr('NACTG', (spec >> 2 & 31) % 5 + 1, 1), ', ', chr(cast((spec >> 7) % 94 + 33 as int)), ', ', spec & 3, '/4') as label from k"""
+)
+def key_decode(r: DataFrame) -> DataFrame:
+    found = models.keyed(r, DECODED, "acids").select("spec").distinct()
+    return found.select("spec", F.format_string("%08X", "spec").alias("hex"), decode(DECODED, F.col("spec")).alias("label"))
+
+
+@query(f"with {BASES_SQL}, {_contexts_sql('generic_ao2_qo0_pb0')} select spec, symbol, round(n_ctx / total, 6) as context_prob, round(n / n_ctx, 6) as symbol_prob from probs")
+def ctx_probs(r: DataFrame) -> DataFrame:
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids"), 5)
+    flat = found.select("spec", "context_prob", F.posexplode("symbol_prob").alias("symbol", "p")).where("p > 0")
+    return flat.select("spec", "symbol", F.round("context_prob", 6).alias("context_prob"), F.round("p", 6).alias("symbol_prob"))
+
+
+def _rate_sql(spec_name: str, kind: str) -> str:
+    symbol = "acid" if kind == "acids" else "q"
+    return f"""select '{kind}' as model_type, '{spec_name}' as spec_type, count(distinct spec) as n_contexts, round(sum(case when n / n_ctx >= 1e-6 then -n * log2(n / n_ctx) else 0 end) / sum(n), 6) as rate
+from (select spec, n, sum(n) over (partition by spec) as n_ctx from ({_counts_sql(spec_name, symbol, "x")[len("x as (") : -1]}))"""
+
+
+@query(f"with {BASES_SQL} select n_contexts, rate from ({_rate_sql('light_ao4_qo3_pb2_qm8', 'q_scores')})")
+def model_rate_single(r: DataFrame) -> DataFrame:
+    found = models.rates(models.all_counts(r, [spec_of("light_ao4_qo3_pb2_qm8")], ("q_scores",)))
+    return found.select("n_contexts", F.round("rate", 6).alias("rate"))
+
+
+_ALL_RATES_SQL = f"with {BASES_SQL}, r as (" + "\nunion all ".join(_rate_sql(s, k) for s in RATED for k in ("acids", "q_scores")) + ")"
+
+
+@query(_ALL_RATES_SQL + " select * from r")
+def model_rates_all(r: DataFrame) -> DataFrame:
+    found = models.rates(models.all_counts(r, [spec_of(s) for s in RATED]))
+    return found.select("model_type", "spec_type", "n_contexts", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def model_rates_every_type(r: DataFrame) -> DataFrame:
+    """All 50 key types; as one SQL statement this takes DuckDB too long, so the tests hold it against the golden table."""
+    found = models.rates(models.all_counts(r, list(KEY_TYPES.values()), ("acids",)))
+    return found.select("model_type", "spec_type", "n_contexts", F.round("rate", 6).alias("rate"))
+
+
+@query(_ALL_RATES_SQL + " select model_type, spec_type, least(n_contexts, 100) as n_contexts, case when n_contexts >= 100 then 1000000.0 else rate end as rate, n_contexts >= 100 as too_big from r")
+def too_big_models(r: DataFrame) -> DataFrame:
+    found = models.rates(models.all_counts(r, [spec_of(s) for s in RATED]), limit=100)
+    return found.select("model_type", "spec_type", "n_contexts", F.round("rate", 6).alias("rate"), "too_big")
+
+
+@query(f"with {BASES_SQL}, {_contexts_sql('generic_ao4_qo0_pb3')} select spec, max(n_ctx)::bigint as n, round(sum(case when n / n_ctx >= 1e-6 then -(n / n_ctx) * log2(n / n_ctx) else 0 end), 6) as entropy from probs group by 1")
+def ctx_entropy(r: DataFrame) -> DataFrame:
+    counts = models.context_counts(r, spec_of("generic_ao4_qo0_pb3"), "acids")
+    probs = counts.groupBy("spec").agg(F.sum("n").alias("n"), F.collect_list("n").alias("ns"))
+    return probs.select("spec", "n", F.round(entropy(F.transform("ns", lambda x: x / F.col("n"))), 6).alias("entropy"))
+
+
+@query(
+    f"""with {BASES_SQL}, {_contexts_sql("generic_ao2_qo0_pb0")}, known as (select spec, symbol, n / n_ctx as p from probs where spec % 2 = 0)
+select s.spec, s.symbol, s.n, round(case when k.spec is null then 0.2 else coalesce(p.p, 0) end, 6) as p from counts s left join (select distinct spec from known) k on k.spec = s.spec left join known p on p.spec = s.spec and p.symbol = s.symbol"""
+)
+def uniform_default(r: DataFrame) -> DataFrame:
+    """A model that lacks the odd keys, so that half of the lookups take the uniform probabilities."""
+    counts = models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids")
+    model = models.assemble(models.contexts(counts, 5).where("spec % 2 = 0"))
+    found = models.with_default(counts, model, "acids")
+    return found.select("spec", "symbol", "n", F.round(F.get("symbol_prob", F.col("symbol")), 6).alias("p"))
+
+
+@query(
+    f"""with {BASES_SQL}, {_contexts_sql("generic_ao2_qo0_pb0")}, c as (select distinct spec, n_ctx / total as p from probs), full_ as (select c.spec, c.p, d.s, coalesce(x.n / x.n_ctx, 0) as sp from c cross join range(5) d(s) left join probs x on x.spec = c.spec and x.symbol = d.s),
+h as (select spec, p, sum(case when sp >= 1e-6 then -sp * log2(sp) else 0 end) as h from full_ group by 1, 2),
+m as (select a.spec as l, b.spec as r, a.p + b.p as p, (a.sp * a.p + b.sp * b.p) / (a.p + b.p) as sp from full_ a join full_ b on a.s = b.s and a.spec < b.spec),
+e as (select l, r, p, sum(case when sp >= 1e-6 then -sp * log2(sp) else 0 end) as h from m group by 1, 2, 3)
+select e.l as left_spec, e.r as right_spec, round(e.p * e.h - (a.p * a.h + b.p * b.h), 6) + 0.0 as cost from e join h a on a.spec = e.l join h b on b.spec = e.r"""
+)
+def merge_pairs_cost(r: DataFrame) -> DataFrame:
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids"), 5)
+    return binning.pair_costs(found).select("left_spec", "right_spec", (F.round("cost", 6) + F.lit(0.0)).alias("cost"))
+
+
+@query(
+    f"""with {BASES_SQL}, {_contexts_sql("generic_ao4_qo0_pb0")}, c as (select distinct spec, n_ctx, total from probs), k as (select *, least(row_number() over (order by n_ctx desc, spec), 16) as bin from c)
+select cast(bin as int) as bin, count(*) as n_specs, min(spec) as first_spec, round(sum(n_ctx / total), 6) as context_prob from k group by 1"""
+)
+def prebin_contexts(r: DataFrame) -> DataFrame:
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao4_qo0_pb0"), "acids"), 5)
+    folded = binning.pre_bin(found, 16).select(F.size("specs").cast("long").alias("n_specs"), F.get("specs", F.lit(0)).alias("first_spec"), "context_prob")
+    from pyspark.sql import Window
+
+    bins = F.row_number().over(Window.orderBy(F.col("n_specs") > 1, F.desc("context_prob"), "first_spec"))
+    return folded.select(bins.alias("bin"), "n_specs", "first_spec", F.round("context_prob", 6).alias("context_prob"))
+
+
+@query()
+def binned_model(r: DataFrame) -> DataFrame:
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids"), 5)
+    return binning.binned(r.sparkSession, binning.tree_of(found), 8)
+
+
+@query()
+def bin_sweep(r: DataFrame) -> DataFrame:
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao4_qo0_pb0"), "acids"), 5)
+    return binning.sweep(r.sparkSession, binning.tree_of(found, most=200), num=20)
+
+
+@query()
+def cum_freqs(r: DataFrame) -> DataFrame:
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def cumulative(probs: pd.Series) -> pd.Series:
+        return probs.map(lambda p: cumulative_frequencies(p, SCALE_BITS).tolist())
+
+    found = models.contexts(models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids"), 5)
+    return found.select("spec", cumulative("symbol_prob").alias("cum_freqs"))
+
+
+def _sizes(r: DataFrame) -> DataFrame:
+    found = [(s, models.contexts(models.context_counts(r, spec_of(s), "acids"), SIZES["acids"])) for s in CHOICE]
+    return select.read_sizes(r, found, "acids", SIZES["acids"])
+
+
+def _sizes_sql() -> str:
+    parts = []
+    for k, s in enumerate(CHOICE):
+        steps = f"select read_id, {key_sql(spec_of(s))} as spec, acid as symbol from bases window w as (partition by read_id order by pos)"
+        parts.append(f"""select read_id, {k} as model_idx, cast(floor(sum(14 - log2(greatest(1, floor(coalesce(n / n_ctx, 0) * 16384 + 0.5)))) / 8 + 1e-9) + 4 as bigint) as bytes
+from ({steps}) join (select spec, symbol, n, sum(n) over (partition by spec) as n_ctx from (select spec, symbol, count(*) as n from ({steps}) group by all)) using (spec, symbol) group by 1""")
+    return f"with recursive {BASES_SQL}, sizes as (" + "\nunion all ".join(parts) + ")"
+
+
+@query(_sizes_sql() + " select read_id, cast(model_idx as int) as model_idx, bytes from sizes")
+def read_sizes(r: DataFrame) -> DataFrame:
+    return _sizes(r)
+
+
+@query(_sizes_sql() + ", k as (select *, row_number() over (partition by read_id order by bytes, model_idx) - 1 as rank from sizes), s as (select cast(model_idx as int) as model_idx, cast(sum(rank) as bigint) as score from k group by 1) select *, cast(row_number() over (order by score, model_idx) as int) as place from s")
+def model_ranking(r: DataFrame) -> DataFrame:
+    return select.ranking(_sizes(r))
+
+
+@query(_sizes_sql() + ", k as (select *, row_number() over (partition by read_id order by bytes, model_idx) as place from sizes) select read_id, cast(model_idx as int) as model_idx, bytes from k where place = 1")
+def best_model_per_read(r: DataFrame) -> DataFrame:
+    return select.best_model(_sizes(r))
+
+
+_LENGTHS_SQL = "lengths as (select doc_id as read_id, length(text) as n, row_number() over (order by doc_id) as k from documents where length(text) > 0)"
+_PACKED_SQL = f"""{_LENGTHS_SQL}, packed as (
+  select k, read_id, n, 0::bigint as block_index, n as held from lengths where k = 1
+  union all select l.k, l.read_id, l.n, case when p.held + l.n > {BLOCK} then p.block_index + 1 else p.block_index end, case when p.held + l.n > {BLOCK} then l.n else p.held + l.n end
+  from packed p join lengths l on l.k = p.k + 1)"""
+
+
+@query(
+    _sizes_sql()
+    + f""", {_PACKED_SQL}, walk as (
+  select p.k, p.read_id, p.block_index, s.model_idx, s.bytes from packed p join sizes s using (read_id) where p.k = 1 and s.model_idx = (select min_by(model_idx, (bytes, model_idx)) from sizes x where x.read_id = p.read_id)
+  union all select k, read_id, block_index, model_idx, bytes from (
+    select p.k, p.read_id, p.block_index, s.model_idx, s.bytes, row_number() over (partition by p.k order by s.bytes + case when w.block_index = p.block_index and w.model_idx = s.model_idx then 0 else 2 end, s.model_idx) as place
+    from walk w join packed p on p.k = w.k + 1 join sizes s on s.read_id = p.read_id) where place = 1)
+select block_index, read_id, cast(model_idx as int) as model_idx, bytes from walk"""
+)
+def best_model_hysteresis(r: DataFrame) -> DataFrame:
+    return select.best_with_switching(_sizes(r), blocks.pack_blocks(r, BLOCK))
+
+
+@query()
+def model_medoids(r: DataFrame) -> DataFrame:
+    packed = blocks.pack_blocks(r, BLOCK)
+    first = packed.where("block_index = 0").select("read_id")
+    groups = select.medoids(_sizes(r).join(first, "read_id", "left_semi"), 2)
+    return r.sparkSession.createDataFrame([(m, len(g)) for m, g in groups], "model_idx int, n_reads int")
+
+
+@query(f"with recursive {_PACKED_SQL} select read_id, cast(n as int) as n, block_index from packed")
+def block_packing(r: DataFrame) -> DataFrame:
+    return blocks.pack_blocks(r, BLOCK)
+
+
+@query(
+    f"""with recursive {_PACKED_SQL} select block_index, count(*) as n_reads, cast(sum(n) as bigint) as n_symbols, cast(sum(strlen('DOC_' || read_id)) as bigint) as identifier_bytes, cast(sum(strlen('DOC_' || read_id) + 2 * n + 6) as bigint) as in_bytes from packed group by 1"""
+)
+def block_stats(r: DataFrame) -> DataFrame:
+    return blocks.block_stats(r, blocks.pack_blocks(r, BLOCK))
+
+
+@query()
+def block_checksums(r: DataFrame) -> DataFrame:
+    return blocks.checksums(r, blocks.pack_blocks(r, BLOCK))
+
+
+_READS_SQL = f"""with {BASES_SQL} select read_id, 'DOC_' || read_id as identifier, string_agg(substr('NACTG', acid + 1, 1), '' order by pos) as acids, string_agg(chr(q + 33), '' order by pos) as quals from bases group by 1"""
+
+
+@query(_READS_SQL)
+def fastq_roundtrip(r: DataFrame) -> DataFrame:
+    """Written as FASTQ to the shared folder, and read from there."""
+    return container.through_fastq(r)
+
+
+@query(_READS_SQL)
+def container_roundtrip(r: DataFrame) -> DataFrame:
+    """Coded into blocks by two models, written, read and decoded."""
+    return container.through_container(r)
+
+
+@query(f"with {BASES_SQL}, a as (select distinct (pos * 16 // n) as model_id from bases), b as (select distinct acid as model_id from bases) select cast(model_id as string) as model_id from a where model_id not in (select model_id from b)")
+def missing_models(r: DataFrame) -> DataFrame:
+    wanted = models.keyed(r, spec_of("generic_ao0_qo0_pb4"), "acids").select(F.col("spec").cast("string").alias("model_id")).distinct()
+    return models.missing(wanted, r.select(F.explode("acids").cast("string").alias("model_id")))
+
+
+@query(f"select doc_id as read_id, '' as identifier, cast(length(text) as int) as n, cast(strlen('DOC_' || doc_id) + 2 * length(text) + 6 as bigint) as size from documents where length(text) > 0")
+def drop_identifiers(r: DataFrame) -> DataFrame:
+    return blocks.drop_identifiers(r).select("read_id", "identifier", "n", "size")
+
+
+@query(
+    f"""with recursive {_LENGTHS_SQL}, walk as (
+  select k, read_id, n as held, read_id as first_read, 0::bigint as chunk from lengths where k = 1
+  union all select l.k, l.read_id, case when w.held >= 50000 then l.n else w.held + l.n end, case when w.held >= 50000 then l.read_id else w.first_read end, case when w.held >= 50000 then w.chunk + 1 else w.chunk end from walk w join lengths l on l.k = w.k + 1)
+select chunk, first_read, read_id as last_read, held as n from walk where held >= 50000"""
+)
+def rechunk_reads(r: DataFrame) -> DataFrame:
+    return blocks.rechunk(r, 50_000)

@@ -2,56 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import new_path, shared_dir, stored
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one. Where it is unset a
-    local master gets a folder of its own, and any other master the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="readspark-")
-    return _LOCAL[key]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder, and read from there.
-
-    This cuts the lineage in a way that survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["input_bytes", "new_path", "shards_for", "shared_dir", "stored"]
 
 
 def input_bytes(df: DataFrame) -> int:
