@@ -185,11 +185,7 @@ def bin_sweep(r: DataFrame) -> DataFrame:
 
 @query()
 def cum_freqs(r: DataFrame) -> DataFrame:
-    import pandas as pd
-
-    @F.pandas_udf("array<int>")
-    def cumulative(probs: pd.Series) -> pd.Series:
-        return probs.map(lambda p: cumulative_frequencies(p, SCALE_BITS).tolist())
+    cumulative = F.pandas_udf(lambda probs: probs.map(lambda p: cumulative_frequencies(p, SCALE_BITS).tolist()), "array<int>", F.PandasUDFType.SCALAR)
 
     found = models.contexts(models.context_counts(r, spec_of("generic_ao2_qo0_pb0"), "acids"), 5)
     return found.select("spec", cumulative("symbol_prob").alias("cum_freqs"))
@@ -287,7 +283,8 @@ def container_roundtrip(r: DataFrame) -> DataFrame:
 @query(f"with {BASES_SQL}, a as (select distinct (pos * 16 // n) as model_id from bases), b as (select distinct acid as model_id from bases) select cast(model_id as string) as model_id from a where model_id not in (select model_id from b)")
 def missing_models(r: DataFrame) -> DataFrame:
     wanted = models.keyed(r, spec_of("generic_ao0_qo0_pb4"), "acids").select(F.col("spec").cast("string").alias("model_id")).distinct()
-    return models.missing(wanted, r.select(F.explode("acids").cast("string").alias("model_id")))
+    there = r.select(F.explode("acids").alias("acid")).select(F.col("acid").cast("string").alias("model_id"))
+    return models.missing(wanted, there)
 
 
 @query(f"select doc_id as read_id, '' as identifier, cast(length(text) as int) as n, cast(strlen('DOC_' || doc_id) + 2 * length(text) + 6 as bigint) as size from documents where length(text) > 0")
