@@ -45,8 +45,8 @@ def _covered(words: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
         def from_sorted(s: Column) -> Column:
-            same = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
-            twice = F.filter(s, lambda x, i: F.coalesce(same(x, i), x["h"] == F.get(s, F.greatest(i - 1, F.lit(0)))["h"], F.lit(False)))
+            equal = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+            twice = F.filter(s, lambda x, i: equal(x, i - 1) | equal(x, i + 1))
             return F.sort_array(F.transform(twice, lambda x: x["p"]))
 
         def steps(q: Column) -> Column:
