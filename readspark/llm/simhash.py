@@ -16,9 +16,10 @@ at most one fewer than it has fingerprints. A large cell is dealt out again by o
 bits, and parts that are already connected are skipped. No pairs of documents are made.
 
 Defined cases: a text without words (a null too) has the fingerprint zero and is linked
-like any other; rows with a repeated ``doc_id`` are documents of their own; a null
-``doc_id`` gets a component through the fingerprint that it shares, else null; other
-columns are not read; an empty table gives an empty result.
+like any other; rows with a repeated ``doc_id`` are documents of their own; rows with a
+null ``doc_id`` link like others, and their component is null where no other row is
+reached; ids are below 2**62; other columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _CUTS = [0, 11, 22, 33, 44, 54, 64]
 BLOCKS = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True)]
 #: A cell with more fingerprints is dealt out again.
 SMALL, LARGE = 32, 1024
+#: Nodes without an id begin here.
+NO_ID = 1 << 62
 
 
 def fingerprints_of(texts: Texts, shingle: int) -> np.ndarray:
@@ -195,8 +198,10 @@ def links(nodes: DataFrame, distance: int = 4, shards: int = 64) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)`` of every document."""
     found = stored(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
-    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = links(nodes.where("node is not null"), distance, shards_for(docs))
-    roots = components(edges)
-    where = stored(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "components")
+    # A fingerprint of null ids alone has a node above all ids, so that it is never a root while there is an id.
+    without = F.xxhash64("fp").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    nodes = stored(found.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")).withColumn("node", F.coalesce("node", without)), "nodes")
+    roots = components(links(nodes, distance, shards_for(docs)))
+    least = F.coalesce("root", "node")
+    where = stored(nodes.join(roots, "node", "left").select("fp", F.when(least < NO_ID, least).alias("component_id")), "components")
     return found.join(where, "fp").select("doc_id", "fp", "component_id")
