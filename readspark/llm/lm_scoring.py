@@ -39,7 +39,7 @@ from ._codec import pack, unpack
 from ._shared import shards_for, stored
 from ._text import LOWER, Texts, blocks, mix, span_hashes, words
 
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _48 = np.uint64((1 << 48) - 1)
 
