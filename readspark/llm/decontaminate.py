@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import LOWER, Texts, blocks, span_hashes, words
+from ._text import LOWER, Texts, blocks, span_hashes, tidy, words
 
 #: Bytes that no word has (after lower-casing).
 BETWEEN = np.zeros(256, bool)
@@ -196,7 +196,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_wor
                         spans.append(own)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "n_hit", "items"])
 
-        passes.append(ids.mapInArrow(run, schema))
+        passes.append(ids.mapInArrow(tidy(run), schema))
     if len(passes) == 1:
         return passes[0]
     return _together(passes, schema)
@@ -226,7 +226,7 @@ def _together(passes: list[DataFrame], schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(n_hit, pa.int64()), batch.column(4)], ["doc_id", "text", "n_words", "spans", "n_hit", "items"])
 
     merged = merged.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return merged.select(*own, "n_words", "spans", "items").mapInArrow(run, schema)
+    return merged.select(*own, "n_words", "spans", "items").mapInArrow(tidy(run), schema)
 
 
 def items_digest(items: Column) -> Column:
@@ -252,5 +252,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_co
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    kept = found.select("doc_id", "text", "spans").mapInArrow(cut, f"row {packed.schema['_row'].dataType.simpleString()}, text string")
+    kept = found.select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"row {packed.schema['_row'].dataType.simpleString()}, text string")
     return kept.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

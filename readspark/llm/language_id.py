@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
-from ._text import LOWER, Texts, blocks
+from ._text import LOWER, Texts, blocks, tidy
 
 #: A byte's value in an n-gram: letters (lower-cased) and all bytes beyond ASCII as they are, all else the mark 0x20.
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -84,7 +84,7 @@ def train(docs: DataFrame, size: int = 400, most_languages: int = 1000, text_col
         held: dict[str, dict[int, int]] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            for texts in blocks(batch.column(0)):
+            for texts in blocks(batch.column(0), 1 << 20):
                 codes, of = grams(texts)
                 own = langs[texts.first : texts.first + len(texts)]
                 for lang in set(own):
@@ -96,7 +96,7 @@ def train(docs: DataFrame, size: int = 400, most_languages: int = 1000, text_col
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
 
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts, "grams")
     langs = [r[0] for r in counts.select("lang").distinct().limit(most_languages + 1).collect()]
     if len(langs) > most_languages:
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, id
         for batch in batches:
             preds, scores = [], []
             readable = batch.column(2).to_pylist()
-            for texts in blocks(batch.column(1)):
+            for texts in blocks(batch.column(1), 1 << 20):
                 codes, of = grams(texts)
                 joined = np.sort(of.astype(np.uint64) << np.uint64(32) | codes)
                 begins = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]])) if len(joined) else np.zeros(0, np.int64)
@@ -145,4 +145,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), has_letter(F.col(text_column)).alias("readable"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {docs.schema[id_column].dataType.simpleString()}, lang_pred string, score double")

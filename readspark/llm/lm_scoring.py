@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._codec import pack, unpack
 from ._shared import shards_for, stored
-from ._text import LOWER, Texts, blocks, mix, span_hashes, words
+from ._text import LOWER, Texts, blocks, mix, release, span_hashes, tidy, words
 
 BLOCK_TEXT = 8 << 20
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -84,7 +84,7 @@ def tokenised(docs: DataFrame, held: Column, id_column: str = "doc_id", text_col
             yield block()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(text_column, F.lit("")).alias("text"), held.alias("held"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, held binary, counts binary, vocab binary, tokens binary")
+    return rows.mapInArrow(tidy(run), f"block long, ids array<{kind}>, held binary, counts binary, vocab binary, tokens binary")
 
 
 class Block:
@@ -173,7 +173,7 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "n", "texts"])
 
     # Context 0 is the sum over all.
-    found = stored(table.select(*cells).mapInArrow(find_hot, "context long, n long, texts long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "hot")
+    found = stored(table.select(*cells).mapInArrow(tidy(find_hot), "context long, n long, texts long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "hot")
     whole = found.where("context = 0").first()
     tokens, texts = (whole["n"], whole["texts"]) if whole else (0, 0)
     # Each has a share of hot_share at least, so there are 1 / hot_share at most.
@@ -217,6 +217,7 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
             "sums": [pack(x) for x in np.split(sums[place], cut_groups)],
             "kinds": [pack(x) for x in np.split(kinds[place], cut_groups)],
         })
+        release()
         hot = np.isin(distinct, heavy)
         known = int(((sums > 0) & ~hot & (distinct != START)).sum())
         totals = [(None, known, int((total == 1).sum()), int((total == 2).sum()))]
@@ -225,7 +226,7 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
         return pd.concat([out.assign(shard=part["shard"].iloc[0], kind=0), more.assign(shard=part["shard"].iloc[0], kind=1)]).reset_index(drop=True)[["kind", "shard", "block", "n", "sums", "kinds", "context", "a", "b", "c"]].astype({"block": "Int64", "context": "Int64", "a": "Int64", "b": "Int64", "c": "Int64"})
 
     sums_schema = "kind int, shard int, block long, n binary, sums binary, kinds binary, context long, a long, b long, c long"
-    sent = table.select(*cells).mapInArrow(send, "shard int, block long, contexts binary, sizes binary, followers binary, n binary")
+    sent = table.select(*cells).mapInArrow(tidy(send), "shard int, block long, contexts binary, sizes binary, followers binary, n binary")
     summed = stored(sent.groupBy("shard").applyInPandas(add_up, sums_schema), "counts")
     totals = summed.where("kind = 1")
     seen = totals.where("context is null").agg(F.sum("a"), F.sum("b"), F.sum("c")).first()
@@ -274,6 +275,7 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
             n_known = np.add.reduceat((unigram > 0)[block.tokens].astype(np.int64), starts)
             columns = [pa.array(ids, part.schema.field("ids").type.value_type), pa.array(block.held), pa.array(block.counts), pa.array(n_known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(scores)]
             out.append(pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        release()
         if not out:
             kinds_ = [part.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             return pa.table([pa.array([], k) for k in kinds_], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import load
 from ._shared import stored
-from ._text import blocks, ragged
+from ._text import blocks, ragged, tidy
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(texts.first + doc)), pa.array(piece.astype(np.int32)), pa.array(at), pa.array(size), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return ids.mapInArrow(run, PIECES.format(id=docs.schema[id_column].dataType.simpleString()))
+    return ids.mapInArrow(tidy(run), PIECES.format(id=docs.schema[id_column].dataType.simpleString()))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._codec import pack, unpack
 from ._components import components
 from ._shared import shards_for, stored
-from ._text import LOWER, Texts, blocks, mix, ragged, words
+from ._text import LOWER, Texts, blocks, mix, ragged, release, tidy, words
 
 SEED = 42
 #: Six blocks of the 64 bits, as masks.
@@ -76,11 +76,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64), *[fingerprints_of(t, shingle) for t in blocks(batch.column(1))]]
+            found = [np.zeros(0, np.uint64), *[fingerprints_of(t, shingle) for t in blocks(batch.column(1), 1 << 20)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
 
     ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return ids.mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, fp long")
+    return ids.mapInArrow(tidy(run), f"doc_id {docs.schema[id_column].dataType.simpleString()}, fp long")
 
 
 class Forest:
@@ -189,9 +189,10 @@ def links(nodes: DataFrame, distance: int = 4, shards: int = 64) -> DataFrame:
         for k in np.flatnonzero(sizes > SMALL):
             _link(distinct, place[starts[k] : starts[k] + sizes[k]], forest, distance)
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        release()
         return pd.DataFrame({"a": nodes[edges[:, 0]], "b": nodes[edges[:, 1]]})
 
-    dealt = nodes.select("fp", "node").mapInArrow(cells, "shard int, keys binary, fps binary, nodes binary")
+    dealt = nodes.select("fp", "node").mapInArrow(tidy(cells), "shard int, keys binary, fps binary, nodes binary")
     return dealt.groupBy("shard").applyInPandas(join, "a long, b long")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._codec import pack, unpack
 from ._shared import new_path, shards_for, stored
-from ._text import Words, blocks, mix, ragged, span_hashes, words
+from ._text import Words, blocks, mix, ragged, release, span_hashes, tidy, words
 
 #: Windows that a task gathers before it writes runs.
 RUN_WINDOWS = 1_500_000
@@ -120,7 +120,7 @@ def runs(docs: DataFrame, window: int, shards: int) -> DataFrame:
         if n:
             yield sort_out()
 
-    return docs.where("doc_id is not null").mapInArrow(run, RUN)
+    return docs.where("doc_id is not null").mapInArrow(tidy(run), RUN)
 
 
 def _bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -175,6 +175,7 @@ def find_repeats(docs: DataFrame, window: int = 13, history: DataFrame | None =
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = list(_merge(part, buckets, new_run is not None))
         out = pd.DataFrame(rows, columns=["bucket", "docs", "places", "hashes", "checks"])
+        release()
         return out.assign(bucket=out["bucket"].astype("Int32"), shard=part["shard"].iloc[0])
 
     merged = stored(dealt.groupBy("shard").applyInPandas(run, "shard int, bucket int, docs binary, places binary, hashes binary, checks binary"), "repeats")
@@ -233,12 +234,13 @@ def _remove(base: DataFrame, repeats: DataFrame, buckets: int, window: int) -> D
                 w = [x for x, c in zip(w, covered.tolist(), strict=True) if not c]
                 text = b" ".join(w).decode()
             out.append((n, n - len(w), hashlib.sha256(b" ".join(w)).hexdigest(), text))
+        release()
         columns = list(zip(*out, strict=True)) if out else [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         arrays = [part["row"], part["doc_id"], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
         return pa.table(arrays, ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
-    dealt = base.mapInArrow(squeeze, f"bucket int, doc_id {kind}, text binary, row {row_kind}")
+    dealt = base.mapInArrow(tidy(squeeze), f"bucket int, doc_id {kind}, text binary, row {row_kind}")
     return dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(clean, f"row {row_kind}, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text string")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import load
-from ._text import blocks
+from ._text import blocks, tidy
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -35,7 +35,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_bytes)), pa.array(np.concatenate(n_tokens))], ["doc_id", "n_bytes", "n_tokens"])
 
     ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return ids.mapInArrow(run, f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return ids.mapInArrow(tidy(run), f"doc_id {docs.schema[id_column].dataType.simpleString()}, n_bytes long, n_tokens long")
 
 
 def over_limit(limit: int) -> Column:

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import new_path, stored
+from ._text import tidy
 
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -191,7 +192,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_bytes: int
         if writer is not None:
             yield close()
 
-    return stored(full.select("page_id", "digest", "url", "html", "response").mapInArrow(write, INDEX), "index")
+    return stored(full.select("page_id", "digest", "url", "html", "response").mapInArrow(tidy(write), INDEX), "index")
 
 
 def read_archive(spark: SparkSession, index: DataFrame) -> DataFrame:
@@ -220,7 +221,7 @@ def read_archive(spark: SparkSession, index: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["record_id", "record_type", "digest", "size", "refers_to", "payload"])
 
     spread = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame")
-    return spread.mapInArrow(read, "record_id string, record_type string, digest string, size long, refers_to string, payload binary")
+    return spread.mapInArrow(tidy(read), "record_id string, record_type string, digest string, size long, refers_to string, payload binary")
 
 
 def fetch(index: DataFrame, identifier: str) -> bytes:
