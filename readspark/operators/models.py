@@ -33,15 +33,19 @@ def all_counts(reads: DataFrame, specs: list[KeySpec], kinds: tuple[str, ...] =
     """``(model_type, spec_type, spec, symbol, n)`` of every kind and key type; the reads are scanned once for ``at_once`` types.
 
     Grouping sets over the keys: each symbol becomes a row for each (key, kind), which
-    the map side counts before anything is exchanged.
+    the map side counts before anything is exchanged. A row says by one small number which
+    set it is of, so that the aggregation's keys have a fixed width.
     """
     out = None
     for k in range(0, len(specs), at_once):
         part = specs[k : k + at_once]
         zipped = F.arrays_zip(F.col("acids"), F.col("quals"), *[key_array(s, F.col("acids"), F.col("quals")).alias(f"k{i}") for i, s in enumerate(part)])
         flat = reads.select(F.inline(zipped))
-        sets = [F.struct(F.lit(kind).alias("model_type"), F.lit(s.name).alias("spec_type"), F.col(f"k{i}").alias("spec"), F.col(COLUMN[kind]).alias("symbol")) for i, s in enumerate(part) for kind in kinds]
-        counts = flat.select(F.inline(F.array(*sets))).groupBy("model_type", "spec_type", "spec", "symbol").agg(F.count("*").alias("n"))
+        sets = [(kind, s.name, f"k{i}") for i, s in enumerate(part) for kind in kinds]
+        rows = [F.struct(F.lit(j).alias("set"), F.col(key).alias("spec"), F.col(COLUMN[kind]).alias("symbol")) for j, (kind, _, key) in enumerate(sets)]
+        counts = flat.select(F.inline(F.array(*rows))).groupBy("set", "spec", "symbol").agg(F.count("*").alias("n"))
+        name = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("set") + 1)
+        counts = counts.select(name([x[0] for x in sets]).alias("model_type"), name([x[1] for x in sets]).alias("spec_type"), "spec", "symbol", "n")
         out = counts if out is None else out.unionByName(counts)
     return out
 

@@ -19,8 +19,15 @@ def reads_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def spread(docs: DataFrame, each: int = 16 << 20) -> DataFrame:
+    """A small table dealt out to all cores, as a file may be one task; a large one is left where it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores, "doc_id") if size < each * cores else docs
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads_of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return reads_of(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 def bases_of(reads: DataFrame) -> DataFrame:
