@@ -116,7 +116,7 @@ def model_rates_all(r: DataFrame) -> DataFrame:
 
 @query()
 def model_rates_every_type(r: DataFrame) -> DataFrame:
-    """All 50 key types; as one SQL statement this takes DuckDB too long, so the tests hold it against the golden table."""
+    """All 50 key types; as one SQL statement this takes DuckDB too long, so the tests hold rates of all types against plain Python."""
     found = models.rates(models.all_counts(r, list(KEY_TYPES.values()), ("acids",)))
     return found.select("model_type", "spec_type", "n_contexts", F.round("rate", 6).alias("rate"))
 

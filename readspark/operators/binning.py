@@ -73,17 +73,17 @@ class Tree:
                 todo += [self.left[k], self.right[k]]
         return sorted(out)
 
-    def cut(self, k: int, order: str = "reference") -> list[int]:
+    def cut(self, k: int, order: str = "min_cost") -> list[int]:
         """The nodes of at most ``k`` contexts: the root, and then nodes taken apart until there are ``k``.
 
-        ``reference``: the node of least cost is taken apart first; ``max_cost``: the
+        ``min_cost``: the node of least cost is taken apart first; ``max_cost``: the
         node of greatest cost, which loses fewer bits.
         """
         if not self.probs:
             return []
-        if order not in ("reference", "max_cost"):
+        if order not in ("min_cost", "max_cost"):
             raise ValueError(f"unknown order {order}")
-        sign = 1 if order == "reference" else -1
+        sign = 1 if order == "min_cost" else -1
         heap, out = [(sign * self.cost[-1], len(self.probs) - 1)], []
         while heap and len(heap) + len(out) < k:
             _, node = heapq.heappop(heap)
@@ -169,7 +169,7 @@ def tree_of(found: DataFrame, most: int = MOST) -> Tree:
     return build_tree([r["specs"] for r in rows], np.array([r["context_prob"] for r in rows]), symbols)
 
 
-def binned(spark: SparkSession, tree: Tree, k: int, order: str = "reference") -> DataFrame:
+def binned(spark: SparkSession, tree: Tree, k: int, order: str = "min_cost") -> DataFrame:
     """The model of ``k`` contexts: ``(specs, ctx_id, context_prob, symbol_prob)``."""
     rows = [(tree.specs_under(n), float(tree.probs[n]), [float(x) for x in tree.symbols[n]]) for n in tree.cut(k, order)]
     out = spark.createDataFrame(rows, "specs array<bigint>, context_prob double, symbol_prob array<double>")
@@ -182,7 +182,7 @@ def steps(size: int, num: int | None = None) -> list[int]:
     return list(range(1, size)) if num >= size - 1 else [i * (size - 1) // num + 1 for i in range(num)]
 
 
-def sweep(spark: SparkSession, tree: Tree, num: int | None = None, order: str = "reference") -> DataFrame:
+def sweep(spark: SparkSession, tree: Tree, num: int | None = None, order: str = "min_cost") -> DataFrame:
     """``(n_contexts, rate)`` for each number of contexts: one tree, many cuts."""
     rows = [(k, tree.rate(tree.cut(k, order))) for k in steps(tree.leaves, num)]
     return spark.createDataFrame(rows, "n_contexts int, rate double")

@@ -349,26 +349,45 @@ def coders_for(reads: DataFrame, acid_specs: list[str], quality_specs: list[str]
     return coders, found
 
 
-def compress_reads(reads: DataFrame, acid_specs: list[str], quality_specs: list[str], max_block: int = packing.MAX_BLOCK, quality: int = 7, fast: bool = False, identifiers: bool = True) -> tuple[DataFrame, list[Coder]]:
-    """The whole way: models, those that the first block chooses, blocks, the best model for each read, coding."""
-    coders, found = coders_for(reads, acid_specs, quality_specs)
+def coders_from(spark: SparkSession, path: str) -> tuple[list[Coder], list[DataFrame]]:
+    """All models of a directory (see ``operators.models.save``), by identifier; each identifier is computed again."""
+    table = modelling.load(spark, path)
+    coders, found = [], []
+    for row in table.select("model_id", "model_type", "spec_type").distinct().orderBy("model_type", "model_id").collect():
+        own = modelling.verify(table, row["model_id"]).select("specs", "ctx_id", "context_prob", "symbol_prob")
+        coders.append(Coder.of(own, row["model_type"], row["spec_type"]))
+        found.append(own.select(F.explode("specs").alias("spec"), "symbol_prob"))
+    return coders, found
+
+
+def compress_with(reads: DataFrame, coders: list[Coder], found: list[DataFrame], max_block: int = packing.MAX_BLOCK, quality: int = 7, fast: bool = False, identifiers: bool = True) -> tuple[DataFrame, list[Coder]]:
+    """Rows of BLOCKS and the models used: those that the first block chooses, and for each read the best of them."""
     packed = packing.pack_blocks(reads, max_block)
     first = reads.join(packed.where(F.col("block_index") == 0).select("read_id"), "read_id", "left_semi")
     chosen, kept = None, []
-    for kind, start, names in (("acids", 0, acid_specs), ("q_scores", len(acid_specs), quality_specs)):
-        own = list(zip(names, found[start : start + len(names)], strict=True))
-        use = select.choose_models(select.read_sizes(first, own, kind, SIZES[kind]), quality, fast) if len(own) > 1 else [0]
-        column = "acid_model" if kind == "acids" else "quality_model"
+    for kind, column in (("acids", "acid_model"), ("q_scores", "quality_model")):
+        places = [k for k, c in enumerate(coders) if c.kind == kind]
+        if not places:
+            raise ContainerError(f"No model for {kind}")
+        own = [(coders[k].spec.name, found[k]) for k in places]
+        use = (select.choose_models(select.read_sizes(first, own, kind, SIZES[kind]), quality, fast) or [0]) if len(own) > 1 else [0]
         if len(use) <= 1 or fast:
             best = reads.select("read_id", F.lit(len(kept)).alias(column))
         else:
             sizes = select.read_sizes(reads, [own[k] for k in use], kind, SIZES[kind])
+            # A read without symbols has no size; it takes the first model.
             best = select.best_with_switching(sizes, packed).select("read_id", (F.col("model_idx") + len(kept)).alias(column))
-        kept += [coders[start + k] for k in use]
+            best = reads.select("read_id").join(best, "read_id", "left").select("read_id", F.coalesce(column, F.lit(len(kept))).alias(column))
+        kept += [coders[places[k]] for k in use]
         chosen = best if chosen is None else chosen.join(best, "read_id")
     return compress(reads, packed, chosen, kept, identifiers), kept
 
 
+def compress_reads(reads: DataFrame, acid_specs: list[str], quality_specs: list[str], **options) -> tuple[DataFrame, list[Coder]]:
+    """``compress_with`` models that are learned from the reads themselves."""
+    return compress_with(reads, *coders_for(reads, acid_specs, quality_specs), **options)
+
+
 def _as_text(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", "identifier", base_text(F.col("acids")).alias("acids"), quality_text(F.col("quals")).alias("quals"))
 
