@@ -18,7 +18,8 @@ have is one entry for each run, and a shard stays a bounded share of all windows
 
 Defined cases: a null text has no words; a text of fewer than ``window`` words has no
 window; windows that repeat within one document, or in rows with the same ``doc_id``, do
-not count against it; rows with a null ``doc_id`` are kept whole and count for nobody;
+not count against it (rows that repeat a ``doc_id`` are taken as copies of one text: a place
+found in one is removed from all); rows with a null ``doc_id`` are kept whole and count for nobody;
 other columns are not read; an empty table gives an empty result.
 """
 
