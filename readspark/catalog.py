@@ -237,12 +237,12 @@ _PACKED_SQL = f"""{_LENGTHS_SQL}, packed as (
 select block_index, read_id, cast(model_idx as int) as model_idx, bytes from walk"""
 )
 def best_model_hysteresis(r: DataFrame) -> DataFrame:
-    return select.best_with_switching(_sizes(r), blocks.pack_blocks(r, BLOCK))
+    return select.best_with_switching(_sizes(r), blocks.pack_blocks(r, BLOCK, any_length=True))
 
 
 @query()
 def model_medoids(r: DataFrame) -> DataFrame:
-    packed = blocks.pack_blocks(r, BLOCK)
+    packed = blocks.pack_blocks(r, BLOCK, any_length=True)
     first = packed.where("block_index = 0").select("read_id")
     groups = select.medoids(_sizes(r).join(first, "read_id", "left_semi"), 2)
     return r.sparkSession.createDataFrame([(m, len(g)) for m, g in groups], "model_idx int, n_reads int")
@@ -250,19 +250,19 @@ def model_medoids(r: DataFrame) -> DataFrame:
 
 @query(f"with recursive {_PACKED_SQL} select read_id, cast(n as int) as n, block_index from packed")
 def block_packing(r: DataFrame) -> DataFrame:
-    return blocks.pack_blocks(r, BLOCK)
+    return blocks.pack_blocks(r, BLOCK, any_length=True)
 
 
 @query(
     f"""with recursive {_PACKED_SQL} select block_index, count(*) as n_reads, cast(sum(n) as bigint) as n_symbols, cast(sum(strlen('DOC_' || read_id)) as bigint) as identifier_bytes, cast(sum(strlen('DOC_' || read_id) + 2 * n + 6) as bigint) as in_bytes from packed group by 1"""
 )
 def block_stats(r: DataFrame) -> DataFrame:
-    return blocks.block_stats(r, blocks.pack_blocks(r, BLOCK))
+    return blocks.block_stats(r, blocks.pack_blocks(r, BLOCK, any_length=True))
 
 
 @query()
 def block_checksums(r: DataFrame) -> DataFrame:
-    return blocks.checksums(r, blocks.pack_blocks(r, BLOCK))
+    return blocks.checksums(r, blocks.pack_blocks(r, BLOCK, any_length=True))
 
 
 _READS_SQL = f"""with {BASES_SQL} select read_id, 'DOC_' || read_id as identifier, string_agg(substr('NACTG', acid + 1, 1), '' order by pos) as acids, string_agg(chr(q + 33), '' order by pos) as quals from bases group by 1"""

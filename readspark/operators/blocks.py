@@ -17,13 +17,14 @@ class SequenceTooLong(ValueError):
     """A read is longer than half a block."""
 
 
-def pack_blocks(reads: DataFrame, max_block: int = MAX_BLOCK, partitions: int = 1) -> DataFrame:
+def pack_blocks(reads: DataFrame, max_block: int = MAX_BLOCK, partitions: int = 1, any_length: bool = False) -> DataFrame:
     """``(read_id, n, block_index)``: a block ends before the read that would take it over ``max_block``.
 
     Which block a read is in depends on all reads before it, so the lengths (two numbers
     a read) pass through in order. With more ``partitions``, ranges of reads are packed
     side by side, and each range starts a block; numbers then have the range in their
-    upper half.
+    upper half. A read of over half a block is an error, unless reads may have ``any_length``:
+    one longer than a block is then a block alone.
     """
 
     def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +32,7 @@ def pack_blocks(reads: DataFrame, max_block: int = MAX_BLOCK, partitions: int =
         for part in parts:
             out = []
             for n, p in zip(part["n"].tolist(), part["p"].tolist(), strict=True):
-                if n > max_block // 2:
+                if n > max_block // 2 and not any_length:
                     raise SequenceTooLong(f"Sequence is too long: {n} symbols, at most {max_block // 2}")
                 if block is None:
                     block, held = int(p) << 32, 0
