@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..storage import new_path, shared_dir, stored
 
-__all__ = ["input_bytes", "new_path", "shards_for", "shared_dir", "stored"]
+__all__ = ["free_name", "input_bytes", "new_path", "quoted", "shards_for", "shared_dir", "stored"]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -14,6 +14,19 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def quoted(column: str) -> str:
+    """A column's name for ``F.col``, whatever signs it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shards_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """Shards for an exchange of fingerprints of ``df``: they follow the input, so a shard stays small."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
