@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from ..storage import new_path, shared_dir, stored
 
-__all__ = ["free_name", "input_bytes", "new_path", "quoted", "shards_for", "shared_dir", "stored"]
+__all__ = ["file_system", "free_name", "input_bytes", "new_path", "quoted", "shards_for", "shared_dir", "stored"]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -14,6 +15,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Where an executor reads and writes files of the shared folder itself, and the path there."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
 def quoted(column: str) -> str:
     """A column's name for ``F.col``, whatever signs it has."""
     return "`" + column.replace("`", "``") + "`"

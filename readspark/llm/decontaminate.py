@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from ._shared import stored
+from ._shared import free_name, quoted, stored
 from ._text import LOWER, Texts, blocks, span_hashes, tidy, words
 
 #: Bytes that no word has (after lower-casing).
@@ -168,9 +169,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_wor
     ids, sorted as strings, of the items with a window in the document.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_column].dataType.simpleString()
-    ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    schema = f"doc_id {kind}, text string, n_words long, spans array<array<long>>, n_hit long, items array<string>"
+    ids = docs.select(F.col(quoted(id_column)).alias("doc_id"), F.col(quoted(text_column)).alias("text"))
+    schema = StructType([*ids.schema.fields]).add("n_words", "long").add("spans", ArrayType(ArrayType(LongType()))).add("n_hit", "long").add("items", ArrayType(StringType()))
     passes = []
     for items in _shards(benchmark, window, shard_words, item_column, text_column):
         sent = spark.sparkContext.broadcast(pickle.dumps(items, pickle.HIGHEST_PROTOCOL))
@@ -202,7 +202,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_wor
     return _together(passes, schema)
 
 
-def _together(passes: list[DataFrame], schema: str) -> DataFrame:
+def _together(passes: list[DataFrame], schema: StructType) -> DataFrame:
     """The union of what several passes over the same documents found in each."""
     own = ["doc_id", "text"]
     rows = stored(passes[0].select(*own, "n_words", F.lit(1).alias("copies"), "spans", "items"), "pass")
@@ -238,8 +238,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_co
 
     All columns of ``docs`` stay as they are, but for the text.
     """
-    packed = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    found = find_items(packed, benchmark, window, id_column="_row", text_column=text_column, **options).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
+    row = free_name(docs, "row")
+    packed = docs.withColumn(row, F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]))
+    found = find_items(packed, benchmark, window, id_column=row, text_column=text_column, **options).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,5 +253,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_co
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    kept = found.select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"row {packed.schema['_row'].dataType.simpleString()}, text string")
-    return kept.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    schema = StructType().add("row", packed.schema[row].dataType).add("text", "string")
+    kept = found.select("doc_id", "text", "spans").mapInArrow(tidy(cut), schema)
+    return kept.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

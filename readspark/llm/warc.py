@@ -29,12 +29,11 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, stored
+from ._shared import file_system, new_path, stored
 from ._text import tidy
 
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
@@ -43,10 +42,6 @@ INDEX = "record_id string, bundle string, frame long, offset long, length long"
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 class BundleWriter:
     """Frames, and the seek table behind them."""
 
@@ -82,7 +77,7 @@ class BundleReader:
     """Frames of a bundle by number, each read alone."""
 
     def __init__(self, uri: str) -> None:
-        fs, path = _open(uri)
+        fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
         end = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, end - 9))
@@ -164,7 +159,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_bytes: int
     full = full.where("page_id is not null").unionByName(nulls)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = file_system(folder)
         writer, name, sink, entries = None, "", None, []
 
         def close() -> pa.RecordBatch:

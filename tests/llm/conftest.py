@@ -47,7 +47,7 @@ def documents(extra: bool = False, awkward: bool = True, base: bool = True) -> p
     more = pa.table({"doc_id": pa.array(cols[0], pa.int64()), "text": pa.array(cols[1], pa.string()), "lang": pa.array(cols[2], pa.string()), "source": pa.array(cols[3], pa.string()), "n_chars": pa.array([len(x or "") for x in cols[1]], pa.int64())})
     t = pa.concat_tables([t.select(more.column_names), more])
     if extra:
-        for k, name in enumerate(["row", "block", "shard", "hash", "n", "score", "words", "bucket", "part", "page_id", "fp", "node", "component_id", "held_out", "quality", "f", "one", "spans", "items", "_part", "_text", "_quality", "_row", "_score", "open", "sequence_id"]):
+        for k, name in enumerate(["row", "block", "shard", "hash", "n", "score", "words", "bucket", "part", "page_id", "fp", "node", "component_id", "held_out", "quality", "f", "one", "spans", "items", "_part", "_text", "_quality", "_row", "_score", "open", "sequence_id", "text_hash", "my col", "a-b", "key", "count"]):
             t = t.append_column(name, pa.array([f"{k}-{i}" for i in range(len(t))]))
     return t
 

@@ -302,3 +302,44 @@ def test_empty_tables(spark, bare):
 
 def test_awkward_rows_are_in_the_tables():
     assert len(AWKWARD) == len({r[0] for r in AWKWARD}) and documents().num_rows == pq.read_table(f"{DATA}/documents.parquet").num_rows + len(AWKWARD)
+
+
+def test_op10_rows_of_a_repeated_id(spark):
+    """Rows under one id with different texts are judged each by its own."""
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [{"doc_id": 1, "text": a}, {"doc_id": 2, "text": a}, {"doc_id": 2, "text": b}, {"doc_id": 2, "text": b}, {"doc_id": 3, "text": b + "\n" + a + "\n tail"}]
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], "x", 1) for r in rows], "doc_id long, text string, `my col` string, `a-b` int")
+    got = substring_dedup.deduplicate(docs, shards=3).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == deduplicated_by_hand(rows)
+    assert [r.text for r in got if r.doc_id == 3] == ["tail"] and all(r["row"]["my col"] == "x" and r["row"]["a-b"] == 1 for r in got)
+
+
+def test_op10_keeps_white_space(spark):
+    a = " ".join(f"a{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, a), (2, f" first\n\nsecond\t{a}\n third\n")], "doc_id long, text string")
+    assert [r.text for r in substring_dedup.deduplicate(docs, shards=2).where("doc_id = 2").collect()] == [" first\n\nsecond\tthird\n"]
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_op10_batches_runs_and_split_shards(spark, odd, batches, monkeypatch):
+    """Any number of batches gives the same, also where runs are merged and shards are split on the way."""
+    monkeypatch.setattr(substring_dedup.FingerprintIndex.__init__, "__defaults__", (None, 13, 64, 2, 20_000))
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    got = substring_dedup.deduplicate(docs, batches=batches, shards=3).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == deduplicated_by_hand(rows_of(odd))
+
+
+def test_op10_reads_its_history(spark, tmp_path):
+    """Files of runs are what decides: without a run's file the second batch fails, and with it both batches agree."""
+    import glob
+    import os
+
+    a = " ".join(f"a{i}" for i in range(20))
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}", shards=2)
+    first, second = (spark.createDataFrame([(i, a)], "doc_id long, text string") for i in (1, 2))
+    assert [r.n_removed for r in index.add(first).collect()] == [0]
+    assert [r.n_removed for r in index.add(second).collect()] == [20]
+    for f in glob.glob(f"{tmp_path}/*.run"):
+        os.remove(f)
+    with pytest.raises(Exception, match="No such file|not exist|FileNotFound"):
+        index.add(second).collect()
