@@ -1,17 +1,20 @@
 """Quality rules with thresholds that follow the data of each language and source.
 
-Method: each statistic goes into a histogram sketch with exact integer buckets (32 steps
-in each power of two, so a quantile is off by at most a 32nd). Sketches merge by adding
+Method: each statistic goes into a histogram sketch with exact integer buckets (128 steps
+in each power of two, so a quantile is off by at most a 128th). Sketches merge by adding
 counts: those of (lang, source) are summed on the map side, merged into those of the
 language, and these into that of the whole corpus; a group with fewer than
-``least_rows`` documents uses the next larger sketch. A document is dropped where a
-statistic lies outside wide fences (``reach`` interquartile ranges beyond the quartiles,
-and a least width), joined to it by language and source. All of it is DataFrame
+``least_rows`` documents uses the next larger sketch. A statistic is outside where it lies
+more than ``reach`` interquartile ranges beyond the quartiles of its group; no value of a
+statistic is a limit by itself. Statistics that measure one thing are a family (FAMILIES),
+and a document is dropped where ``least_outside`` families are outside: what is rare in one
+respect is common among good texts, what is rare in several is not. All of it is DataFrame
 operations; the documents' texts are read once and only their numbers are kept.
 
 Defined cases: a null text has no words; a null language or source is a group of its
-own; rows with a null or repeated ``doc_id`` are each judged; other columns are not
-read; an empty table gives an empty result.
+own; rows with a null or repeated ``doc_id`` are each judged; a value right on a threshold
+is inside; a very long text is handled whole, in one row's arrays of words; other columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from ._shared import stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: Statistic: (least width of the fences above the upper and below the lower quartile; None: no fence).
-FENCES = {"symbol_rate": (50, None), "dup_line_rate": (400, None), "repeat_rate": (400, None), "mean_chars": (4000, 2500)}
+#: What the statistics measure.
+FAMILIES = {"symbols": ["symbol_rate"], "repetition": ["dup_line_rate", "repeat_rate"], "word length": ["mean_chars"]}
+STATISTICS = [x for family in FAMILIES.values() for x in family]
+STEPS = 128
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -83,20 +88,19 @@ def rates(stats: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """A whole number's bucket: itself below 64, else its first six bits and their place."""
-    shift = F.floor(F.log2(F.greatest(value, F.lit(64)).cast("double"))).cast("int") - 5
-    return F.when(value < 64, value).otherwise(shift.cast("long") * 64 + F.call_function("shiftright", value, shift))
+    """A whole number's bucket: itself below 2 * STEPS, else its first eight bits and their place."""
+    shift = F.greatest(F.length(F.bin(value)) - F.lit(STEPS.bit_length()), F.lit(0))
+    return shift * (2 * STEPS) + F.call_function("shiftright", value, shift.cast("int"))
 
 
 def bucket_floor(b: Column) -> Column:
     """The least value of a bucket."""
-    shift = F.floor(b / 64).cast("int")
-    return F.when(b < 64, b).otherwise(F.call_function("shiftleft", (b % 64).cast("long"), shift))
+    return F.call_function("shiftleft", F.pmod(b, F.lit(2 * STEPS)).cast("long"), F.floor(b / (2 * STEPS)).cast("int"))
 
 
-def thresholds(measured: DataFrame, reach: float = 3.0, least_rows: int = 50) -> DataFrame:
+def thresholds(measured: DataFrame, reach: float = 1.5, least_rows: int = 50) -> DataFrame:
     """``(lang, source, <statistic>_low, <statistic>_high)``, one row for each language and source."""
-    stacked = measured.select("lang", "source", F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in FENCES])))
+    stacked = measured.select("lang", "source", F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])))
     sketch = stacked.groupBy("lang", "source", "stat", bucket(F.col("value")).alias("b")).agg(F.count("*").alias("n"))
     sketch = stored(sketch, "sketch")
     merged = {
@@ -110,33 +114,35 @@ def thresholds(measured: DataFrame, reach: float = 3.0, least_rows: int = 50) ->
         # A quantile is the least bucket whose running count reaches its share; buckets of a group are bounded.
         listed = merged[level].groupBy(*keys, "stat").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("s"), F.sum("n").alias("total"))
 
-        def quantile(share: float) -> Column:
+        def quantile(quarters: int) -> Column:
             state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at"))
-            step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & ((a["seen"] + x["n"]) >= F.col("total") * share), x["b"]).otherwise(a["at"]).alias("at"))
+            step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & ((a["seen"] + x["n"]) * 4 >= F.col("total") * quarters), x["b"]).otherwise(a["at"]).alias("at"))
             return bucket_floor(F.aggregate("s", state, step, lambda a: a["at"]))
 
-        q = listed.select(*keys, "stat", "total", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-        found[level] = q.groupBy(*keys).agg(F.max("total").alias(f"{level}_n"), *[F.max(F.when(F.col("stat") == s, F.col(x))).alias(f"{level}_{s}_{x}") for s in FENCES for x in ("q1", "q3")])
+        q = listed.select(*keys, "stat", "total", quantile(1).alias("q1"), quantile(3).alias("q3"))
+        found[level] = q.groupBy(*keys).agg(F.max("total").alias(f"{level}_n"), *[F.max(F.when(F.col("stat") == s, F.col(x))).alias(f"{level}_{s}_{x}") for s in STATISTICS for x in ("q1", "q3")])
     joined = groups.alias("g").join(found["own"].alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source"))).drop(F.col("o.lang"), F.col("o.source"))
     joined = joined.join(found["language"].alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).drop(F.col("l.lang"))
     # One row of a few numbers, whatever the input: the corpus's quartiles.
     corpus = found["corpus"].first()
     pick = lambda s, x: F.when(F.col("own_n") >= least_rows, F.col(f"own_{s}_{x}")).when(F.col("language_n") >= least_rows, F.col(f"language_{s}_{x}")).otherwise(F.lit(corpus[f"corpus_{s}_{x}"]).cast("long"))
     out = []
-    for s, (above, below) in FENCES.items():
-        width = (pick(s, "q3") - pick(s, "q1")) * reach
-        out.append((pick(s, "q3") + F.greatest(width, F.lit(float(above)))).alias(f"{s}_high"))
-        out.append((F.lit(-1.0) if below is None else pick(s, "q1") - F.greatest(width, F.lit(float(below)))).alias(f"{s}_low"))
+    for s in STATISTICS:
+        width = (pick(s, "q3") - pick(s, "q1")) * F.lit(float(reach))
+        out += [(pick(s, "q1") - width).alias(f"{s}_low"), (pick(s, "q3") + width).alias(f"{s}_high")]
     return joined.select("lang", "source", *out)
 
 
-def quality_rules(docs: DataFrame, least_words: int = 50, most_repeated_percent: int = 50, reach: float = 3.0, least_rows: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Statistics, ``base_failed`` and ``kept`` of every document."""
+def quality_rules(docs: DataFrame, least_words: int = 50, most_repeated_percent: int = 50, reach: float = 1.5, least_outside: int = 2, least_rows: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Statistics, ``base_failed``, the number of families outside (``n_outside``) and ``kept`` of every document."""
     measured = stored(rates(statistics(docs, id_column, text_column)), "rates")
     fences = stored(thresholds(measured, reach, least_rows), "thresholds")
     both = measured.alias("m").join(fences.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated_percent)
-    inside = F.lit(True)
-    for s in FENCES:
-        inside = inside & F.col(s).between(F.col(f"{s}_low"), F.col(f"{s}_high"))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), *FENCES)
+    outside = F.lit(0)
+    for family in FAMILIES.values():
+        any_of = F.lit(False)
+        for s in family:
+            any_of = any_of | ~F.col(s).between(F.col(f"{s}_low"), F.col(f"{s}_high"))
+        outside = outside + any_of.cast("int")
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (outside < least_outside)).alias("kept"), outside.alias("n_outside"), *STATISTICS)

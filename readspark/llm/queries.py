@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, language_id, lm_scoring, packing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, warc
+from . import decontaminate, language_id, lm_scoring, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +77,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_lm_scoring, op4_packing, op5_simhash, op6_quality_classifier, op7_decontaminate, op8_token_counts, op9_language_id, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(sql.ORACLE_SQL)

@@ -1,21 +1,22 @@
 """Near duplicates by SimHash fingerprints.
 
 Method: segment-popcount embedding. A fingerprint is mapped to the counts of set bits in
-its segments; the Manhattan distance of two such vectors is never more than the Hamming
-distance of the fingerprints, so a range join over a grid of the vectors finds every
-link. Segment counts alone choose weakly (a large share of unrelated fingerprints lies
-within a distance of 4), so segments have two widths. Of six blocks of bits, two
-fingerprints at ``distance`` 4 or less agree in two at least: for each of the 15 pairs of
-blocks, its bits are segments of width one, which must be equal, and the count over the
-other 42 bits is a grid coordinate with cells of width 5, in which a fingerprint stands
-in its own cell and the next one that its range reaches. Within a cell, candidates pass
-the Manhattan bound over eight-bit segments and are then compared exactly.
+its 32 segments of two bits. The Manhattan distance of two such vectors is never more than
+the Hamming distance of the fingerprints, so a range join over a grid of the vectors finds
+every link. The 32 coordinates are in ``g`` groups; vectors within a distance of
+``distance`` agree in ``g - distance`` groups at least, so for each choice of that many
+groups a fingerprint stands in one cell of the grid, that of its counts in these groups
+(cells are one count wide). ``g`` follows the number of fingerprints: more groups are more
+cells of fewer fingerprints. Within a cell, all candidates pass the Manhattan bound over
+the whole vector and are then compared exactly. (Wider segments choose too weakly: with
+eight bits, a hundredth of unrelated fingerprints lies within a distance of 4.)
 
 Only distinct fingerprints are compared, and a cell gives the edges of a spanning forest,
-at most one fewer than it has fingerprints. A large cell is dealt out again by other
-bits, and parts that are already connected are skipped. No pairs of documents are made.
+at most one fewer than it has fingerprints. A large cell is dealt out again by its other
+coordinates, and parts that are already connected are skipped. No pairs of documents are made.
 
-Defined cases: a text without words (a null too) has the fingerprint zero and is linked
+Defined cases: a bit set in just half of the shingles is 0; a very long text is handled
+whole, alone in its block; a text without words (a null too) has the fingerprint zero and is linked
 like any other; rows with a repeated ``doc_id`` are documents of their own; rows with a
 null ``doc_id`` link like others, and their component is null where no other row is
 reached; ids are below 2**62; other columns are not read; an empty table gives an empty
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,8 @@ from ._text import LOWER, Texts, blocks, mix, ragged, release, tidy, words
 
 SEED = 42
 #: Six blocks of the 64 bits, as masks.
-_CUTS = [0, 11, 22, 33, 44, 54, 64]
-BLOCKS = [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(_CUTS[:-1], _CUTS[1:], strict=True)]
+#: Segments have two bits.
+SEGMENTS, PAIRS = 32, np.uint64(0x5555555555555555)
 #: A cell with more fingerprints is dealt out again.
 SMALL, LARGE = 32, 1024
 #: Nodes without an id begin here.
@@ -104,10 +106,25 @@ class Forest:
             self.edges.append((a, b))
 
 
+def counts_of(fps: np.ndarray) -> np.ndarray:
+    """The count of each segment in unary (0, 1, 3), so that differing bits are the Manhattan distance of the counts."""
+    other = fps >> np.uint64(1)
+    return (fps | other) & PAIRS | (fps & other & PAIRS) << np.uint64(1)
+
+
+def groups_for(n: int, distance: int) -> int:
+    """The number of groups with the least work for n fingerprints: dealing out cells, and comparing within them."""
+
+    def work(g: int) -> float:
+        equal = 0.375 ** (SEGMENTS * (g - distance) / g)  # two counts of random bits agree with 3/8
+        return comb(g, distance) * (30 + n * equal)
+
+    return min(range(distance + 1, min(distance + 9, SEGMENTS) + 1), key=work)
+
+
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Whether the Manhattan bound and then the Hamming distance is at most ``distance``."""
-    counts = lambda x: np.bitwise_count(np.ascontiguousarray(x).view(np.uint8)).reshape(-1, 8).astype(np.int8)
-    found = np.abs(counts(a) - counts(b)).sum(1) <= distance
+    found = np.bitwise_count(counts_of(a) ^ counts_of(b)) <= distance
     found[found] = np.bitwise_count(a[found] ^ b[found]) <= distance
     return found
 
@@ -117,38 +134,33 @@ def _link(fps: np.ndarray, at: np.ndarray, forest: Forest, distance: int) -> Non
     if len(at) < 2 or len({forest.root(x) for x in at.tolist()}) == 1:
         return
     own = fps[at]
-    if len(at) <= LARGE:
+    counts = counts_of(own)
+    differ = int(np.bitwise_or.reduce(counts ^ counts[0]))
+    places = [i for i in range(64) if differ >> i & 1]
+    if len(at) <= LARGE or len(places) <= distance:
         for i in range(len(at) - 1):
-            for j in np.flatnonzero(np.bitwise_count(own[i + 1 :] ^ own[i]) <= distance).tolist():
+            for j in np.flatnonzero(_near(own[i + 1 :], np.broadcast_to(own[i], len(own) - i - 1), distance)).tolist():
                 forest.join(int(at[i]), int(at[i + 1 + j]))
         return
-    differ = int(np.bitwise_or.reduce(own ^ own[0]))
-    places = [i for i in range(64) if differ >> i & 1]
-    for k in range(distance + 1):  # one of these sets of bits is equal in two near fingerprints
-        key = own & np.uint64(sum(1 << i for i in places[k :: distance + 1]))
+    for k in range(distance + 1):  # the counts in one of these parts are equal in two near fingerprints
+        key = counts & np.uint64(sum(1 << i for i in places[k :: distance + 1]))
         order = np.argsort(key, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             _link(fps, at[part], forest, distance)
 
 
-def links(nodes: DataFrame, distance: int = 4, shards: int = 64) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, shards: int = 64, groups: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` between the nodes of distinct fingerprints ``(fp, node)`` that connect whatever is near."""
-    if not 0 <= distance <= 4:
-        raise ValueError("distance must be from 0 to 4")
-    pairs = list(combinations(range(len(BLOCKS)), 2))
+    if not 0 <= distance <= 8:
+        raise ValueError("distance must be from 0 to 8")
+    groups = groups or groups_for(nodes.count(), distance)
+    masks = [sum(3 << 2 * s for s in range(SEGMENTS) if s * groups // SEGMENTS in chosen) for chosen in combinations(range(groups), groups - distance)]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def deal(fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-            keys, owner = [], []
-            for k, (i, j) in enumerate(pairs):
-                equal = BLOCKS[i] | BLOCKS[j]
-                rest = np.bitwise_count(fps & ~equal).astype(np.uint64)
-                cell, reach = rest // np.uint64(5), (rest + np.uint64(4)) // np.uint64(5)
-                base = mix((fps & equal) ^ mix(np.full(len(fps), k + 1, np.uint64)))
-                two = np.flatnonzero(cell != reach)
-                keys += [mix(base ^ mix(cell + np.uint64(1))), mix(base[two] ^ mix(reach[two] + np.uint64(1)))]
-                owner += [np.arange(len(fps)), two]
-            keys, owner = np.concatenate(keys), np.concatenate(owner)
+            counts = counts_of(fps)
+            keys = np.concatenate([mix((counts & np.uint64(m)) ^ mix(np.full(len(fps), k + 1, np.uint64))) for k, m in enumerate(masks)])
+            owner = np.tile(np.arange(len(fps)), len(masks))
             shard = (keys % np.uint64(shards)).astype(np.int32)
             order = np.lexsort((keys, shard))
             keys, owner, shard = keys[order], owner[order], shard[order]
@@ -157,11 +169,13 @@ def links(nodes: DataFrame, distance: int = 4, shards: int = 64) -> DataFrame:
             cut = lambda x, **o: [pack(x[at[s] : at[s + 1]], **o) for s in full]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cut(keys, ascending=True), pa.binary()), pa.array(cut(fps[owner]), pa.binary()), pa.array(cut(nodes[owner]), pa.binary())], ["shard", "keys", "fps", "nodes"])
 
+        # About as many cells at once, whatever the number of groups.
+        most = max(1, 2_000_000 // len(masks))
         held, n = [], 0
         for batch in batches:
             held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             n += batch.num_rows
-            if n >= 100_000:
+            if n >= most:
                 yield deal(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if n:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -150,6 +151,24 @@ def test_op5_links_of_planted_fingerprints(spark):
     assert got == least_reachable(list(enumerate(fps)))
 
 
+def test_op5_counts_bound_the_distance():
+    """Manhattan distances of segment counts, by hand, and never above the Hamming distance; cells lose no near pair."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 9)))
+        per = lambda x: [(x >> 2 * i & 3).bit_count() for i in range(32)]
+        by_hand = sum(abs(x - y) for x, y in zip(per(a), per(b), strict=True))
+        ca, cb = (int(simhash.counts_of(np.array([x], np.uint64))[0]) for x in (a, b))
+        assert (ca ^ cb).bit_count() == by_hand <= (a ^ b).bit_count()
+        for g in (5, 7, 9):
+            same = sum(all(ca >> 2 * i & 3 == cb >> 2 * i & 3 for i in range(32) if i * g // 32 == k) for k in range(g))
+            assert by_hand > 4 or same >= g - 4
+    assert [simhash.groups_for(n, 4) for n in (10, 10**5, 10**7, 10**10)] == sorted(simhash.groups_for(n, 4) for n in (10, 10**5, 10**7, 10**10))
+
+
 # --- op7 ---
 
 
