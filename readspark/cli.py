@@ -87,7 +87,7 @@ def _tree(spark: SparkSession, a: argparse.Namespace) -> tuple[binning.Tree, str
         raise SystemExit(f"{len(names)} models match; name one with --model")
     own = models.verify(table, names[0])
     row = own.select("model_type", "spec_type").first()
-    return binning.tree_of(own.select("specs", "context_prob", "symbol_prob"), a.pre_bin or binning.MOST), row["model_type"], row["spec_type"]
+    return binning.tree_of(own.select("specs", "context_prob", "symbol_prob"), a.pre_bin), row["model_type"], row["spec_type"]
 
 
 def bin_contexts(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.information import entropy_np, merge_cost, merge_np
 
-#: All pairs of contexts are held on the driver; more contexts than this are folded first.
-MOST = 2000
+#: All pairs of contexts are held on the driver: a model with more has to be folded (``most``) by the caller.
+MOST = 5000
 
 
 def pre_bin(found: DataFrame, most: int) -> DataFrame:
@@ -158,8 +158,12 @@ def build_tree(specs: list[list[int]], probs: np.ndarray, symbols: np.ndarray) -
     return tree
 
 
-def tree_of(found: DataFrame, most: int = MOST) -> Tree:
-    """The merge tree of a model's contexts (``spec``, ``context_prob``, ``symbol_prob``)."""
+def tree_of(found: DataFrame, most: int | None = None) -> Tree:
+    """The merge tree of a model's contexts (``spec``, ``context_prob``, ``symbol_prob``), all of them or with the rest beyond ``most`` as one."""
+    if most is None:
+        most = MOST
+        if found.limit(most + 1).count() > most:
+            raise ValueError(f"more than {MOST} contexts: name how many to keep")
     if "specs" in found.columns:
         if found.where(F.size("specs") != 1).limit(1).count():
             raise ValueError("contexts must have one key each")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from math import log2
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.information import SCALE_BITS
-from ..functions.keys import spec_of
-from .models import COLUMN, keyed
+from ..functions.keys import key_array, spec_of
+from ..storage import stored
+from .models import COLUMN
 
 #: Bytes of the mark that switches models.
 SWITCH_BYTES = 2
+#: Contexts of a model that is sent to all executors (a few hundred bytes each).
+SENT = 50_000
 
 
 def plain_frequency(p: Column, scale_bits: int = SCALE_BITS) -> Column:
@@ -31,18 +37,22 @@ def frequencies_of(model: DataFrame) -> DataFrame:
 def read_sizes(reads: DataFrame, models: list[tuple[str, DataFrame]], kind: str, size: int) -> DataFrame:
     """``(read_id, model_idx, bytes)``: what each read takes under each model.
 
-    ``models``: key type and contexts (``spec``, ``symbol_prob``). Equal steps of a read
-    are counted before the join with the frequencies, which Spark broadcasts if they are
-    small enough; a key without a context has uniform ones.
+    ``models``: key type and contexts (``spec``, ``symbol_prob``). Reads are taken apart
+    once, with the keys of all models in each row, and only sums leave a task. A model's
+    frequencies are broadcast if it has at most SENT contexts; a key without a context has
+    uniform ones.
     """
-    out = None
-    uniform = max(1, int((1 << SCALE_BITS) / size + 0.5))
-    for k, (spec_name, found) in enumerate(models):
-        steps = keyed(reads, spec_of(spec_name), "read_id", COLUMN[kind]).withColumnRenamed(COLUMN[kind], "symbol")
-        bits = steps.join(frequencies_of(found), ["spec", "symbol"], "left").select("read_id", (SCALE_BITS - F.log2(F.coalesce("freq", F.lit(uniform)))).alias("bits"))
-        sizes = bits.groupBy("read_id").agg(coded_bytes(F.sum("bits")).alias("bytes")).select("read_id", F.lit(k).alias("model_idx"), "bytes")
-        out = sizes if out is None else out.unionByName(sizes)
-    return out
+    if not models:
+        raise ValueError("at least one model is needed")
+    uniform = SCALE_BITS - log2(max(1, int((1 << SCALE_BITS) / size + 0.5)))
+    keys = [key_array(spec_of(name), F.col("acids"), F.col("quals")).alias(f"k{i}") for i, (name, _) in enumerate(models)]
+    steps = reads.select("read_id", F.inline(F.arrays_zip(F.col(COLUMN[kind]).alias("symbol"), *keys)))
+    for i, (_, found) in enumerate(models):
+        found = stored(found.select("spec", "symbol_prob"), "model")
+        bits = frequencies_of(found).select(F.col("spec").alias(f"k{i}"), "symbol", (SCALE_BITS - F.log2("freq")).alias(f"b{i}"))
+        steps = steps.join(F.broadcast(bits) if found.limit(SENT + 1).count() <= SENT else bits, [f"k{i}", "symbol"], "left")
+    sums = steps.groupBy("read_id").agg(*[F.sum(F.coalesce(f"b{i}", F.lit(uniform))).alias(f"b{i}") for i in range(len(models))])
+    return sums.select("read_id", F.inline(F.array(*[F.struct(F.lit(i).alias("model_idx"), coded_bytes(F.col(f"b{i}")).alias("bytes")) for i in range(len(models))])))
 
 
 def ranking(sizes: DataFrame) -> DataFrame:
@@ -68,20 +78,24 @@ def best_with_switching(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Within a block, in the order of reads, a model other than the one before costs
     SWITCH_BYTES more; a block starts without one. ``blocks``: ``(read_id, block_index)``.
-    A block's size is bounded, and so is the array that is folded.
+    A block's size is bounded, and so is what one task gathers at once.
     """
-    per_read = sizes.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("model_idx", "bytes"))).alias("options"))
-    joined = per_read.join(blocks.select("read_id", "block_index"), "read_id")
-    ordered = joined.groupBy("block_index").agg(F.sort_array(F.collect_list(F.struct("read_id", "options"))).alias("reads"))
-    kind = "struct<now:int,out:array<struct<read_id:bigint,model_idx:int,bytes:bigint>>>"
-
-    def step(state: Column, read: Column) -> Column:
-        priced = F.transform(read["options"], lambda o: F.struct((o["bytes"] + F.when(o["model_idx"] == state["now"], 0).otherwise(SWITCH_BYTES)).alias("cost"), o["model_idx"].alias("m"), o["bytes"].alias("b")))
-        best = F.array_min(priced)
-        return F.struct(best["m"].alias("now"), F.concat(state["out"], F.array(F.struct(read["read_id"].alias("read_id"), best["m"].alias("model_idx"), best["b"].cast("long").alias("bytes")))).alias("out")).cast(kind)
-
-    start = F.struct(F.lit(-1).alias("now"), F.array().cast("array<struct<read_id:bigint,model_idx:int,bytes:bigint>>").alias("out")).cast(kind)
-    return ordered.select("block_index", F.inline(F.aggregate("reads", start, step, lambda s: s["out"])))
+    joined = sizes.join(blocks.select("read_id", "block_index"), "read_id").select("block_index", "read_id", "model_idx", "bytes")
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["read_id", "model_idx"], ignore_index=True)
+        ids, models, sizes = (part[c].tolist() for c in ("read_id", "model_idx", "bytes"))
+        now, out, k = -1, [], 0
+        while k < len(ids):
+            end = k
+            while end < len(ids) and ids[end] == ids[k]:
+                end += 1
+            _, now, least = min((sizes[j] + (0 if models[j] == now else SWITCH_BYTES), models[j], sizes[j]) for j in range(k, end))
+            out.append((part["block_index"].iloc[0], ids[k], now, least))
+            k = end
+        return pd.DataFrame(out, columns=["block_index", "read_id", "model_idx", "bytes"])
+
+    return joined.groupBy("block_index").applyInPandas(choose, joined.schema)
 
 
 def medoids(sizes: DataFrame, k: int, seed: int = 404, most_rounds: int = 50) -> list[tuple[int, list[int]]]:

@@ -15,14 +15,14 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one. Where it is unset a
-    local master gets a folder of its own, and any other master the warehouse.
+    It is ``spark.checkpoint.dir``. Where it is unset a local master gets a folder of its
+    own; any other master has to name one, as executors write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="readspark-")
