@@ -10,12 +10,12 @@ than the pair from which that symbol came.
 from __future__ import annotations
 
 import json
-import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 from ._text import LOWER, Texts, ragged, span_hashes, words
 
@@ -130,10 +130,10 @@ class Bpe:
         self.first = np.array([vocab[c] for c in chars], np.int32)
         self.last = np.array([vocab[c + suffix] for c in chars], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if self.words:
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        else:
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # The file's own normaliser and pre-tokeniser: what is a letter is for the library to say.
+        bare = spec | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(bare))
+        self.byte_of = {c: k for k, c in enumerate(chars)}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self._forget()
 
@@ -150,9 +150,9 @@ class Bpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                if self.words:
-                    part = "".join(c.lower() for c in unicodedata.normalize("NFC", part)) if not part.isascii() else part.lower()
-                out += [x.encode() for x in self.pattern.findall(part)]
+                if self.library.normalizer is not None:
+                    part = self.library.normalizer.normalize_str(part)
+                out += [bytes(map(self.byte_of.__getitem__, x)) for x, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ class Bpe:
         """The ids of all ``data[starts[k]:ends[k]]`` behind each other, and how many each has.
 
         Pieces of ASCII and common Latin letters are cut into pre-tokens by character
-        class in arrays; all others by the tokenizer's pattern.
+        class in arrays; all others by the library's pre-tokeniser.
         """
         sizes = ends - starts
         buf = data[ragged(starts, sizes)]
@@ -210,7 +210,7 @@ class Bpe:
         spans = np.flatnonzero(np.append(change, True))
         stop = spans[np.searchsorted(spans, cut, "right")] if len(cut) else cut
         of, fixed = owner[cut], np.full(len(cut), -1, np.int64)
-        if odd.any():  # by the pattern, behind the rest
+        if odd.any():  # by the library, behind the rest
             raw, extra, more_of, more_fixed = data.tobytes(), [], [], []
             for k in np.flatnonzero(odd):
                 for x in self._pieces(raw[starts[k] : ends[k]].decode("utf-8", "replace")):

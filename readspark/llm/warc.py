@@ -215,7 +215,8 @@ def read_archive(spark: SparkSession, index: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["record_id", "record_type", "digest", "size", "refers_to", "payload"])
 
-    spread = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame")
+    # By number and not by key: that exchange is neither left out nor merged into few tasks, though the index is small.
+    spread = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return spread.mapInArrow(tidy(read), "record_id string, record_type string, digest string, size long, refers_to string, payload binary")
 
 

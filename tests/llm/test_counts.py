@@ -201,3 +201,22 @@ def test_warc_null_and_repeated_pages(spark):
 def test_empty_tables(spark, bare):
     for f in (queries.op1_warc, queries.op2_quality_rules, queries.op4_packing, queries.op8_token_counts):
         assert f(spark, bare).collect() == []
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_unusual_characters(name):
+    """Letters, marks and spaces of many blocks, also of those that newer tables know: as the library has them."""
+    import random
+
+    from readspark.llm import _bpe, _text
+
+    rng = random.Random(11)
+    pools = [range(32, 127), range(0xA0, 0x250), range(0x300, 0x590), range(0x860, 0x8A0), range(0x1E00, 0x2070), range(0x3040, 0x30FF), range(0x10000, 0x1FFFF), [0x20, 0x0A, 0x85, 0xA0, 0x3000]]
+    texts = ["".join(chr(rng.choice(rng.choice(pools))) + rng.choice(["", "", "'s", " the", " <|endoftext|>", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    library, own, k = Tokenizer.from_file(public_tokenizers.path(name)), _bpe.load(public_tokenizers.path(name)), 0
+    for block in _text.blocks(pa.array(texts), 1 << 15):
+        start, length, offsets = own.lookup(block)
+        for i in range(len(block)):
+            ids = [int(x) for p in range(offsets[i], offsets[i + 1]) for x in own.ids[start[p] : start[p] + length[p]]]
+            assert ids == library.encode(texts[k], add_special_tokens=False).ids
+            k += 1
