@@ -165,9 +165,11 @@ def read_run(uri: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(part: pd.DataFrame, shard: int, buckets: int, folder: str | None) -> Iterator[tuple]:
     """Rows of the two kinds: what to remove, by bucket of documents; and the shard's new run."""
-    through = part["bucket"].notna()
-    for k, docs, keys, places in part.loc[through, ["bucket", "docs", "keys", "places"]].itertuples(index=False):
-        yield int(k), docs, keys, places, None, None
+    through = part[part["bucket"].notna()]
+    if len(through):  # one row for each bucket, however many tasks sent some
+        docs, keys, places = (np.concatenate([unpack(x) for x in through[c]]) for c in ("docs", "keys", "places"))
+        for k, d, i, p in _removals(docs, keys, places, buckets):
+            yield k, d, i, p, None, None
     fresh, history = part[part["hashes"].notna()], part["path"].dropna()
     if not len(fresh):
         return
@@ -289,7 +291,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 13, shards: int = 64, most_runs: int = 4, shard_windows: int = 20_000_000) -> None:
         self.spark, self.folder, self.window, self.shards = spark, folder or new_path(spark, "index"), window, shards
-        self.buckets, self.most_runs, self.shard_windows = shards, most_runs, shard_windows
+        self.buckets, self.most_runs, self.shard_windows = max(1, shards // 2), most_runs, shard_windows
         self.paths: list[str] = []  # of the tables that name the files of each run
 
     def history(self) -> DataFrame | None:
