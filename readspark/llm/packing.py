@@ -5,7 +5,13 @@ decreasing. Dual feasible functions give a lower bound on the partition's sequen
 where the bound is met the packing is certified and final. A partition with a gap keeps
 its full sequences, gives up the documents of the others, and these documents meet in
 new, fewer partitions, in which best-fit decreasing runs again. The rounds end when all
-is certified, when one partition is left, or after ``rounds``.
+is certified, when one partition is left, after ``rounds``, or when a rerun takes more
+sequences than the same documents had before: then what they had stays.
+
+Each piece carries its certificate: ``partition_bins`` and ``partition_bound`` are the
+sequences and the lower bound of the partition and round that made its sequence. Where
+they are equal no packing of that partition has fewer; a difference is the most that
+could be saved there.
 
 A task holds about ``pieces_each`` pieces (a few numbers each), however large the input.
 
@@ -114,32 +120,40 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(items: DataFrame, capacity: int, pieces_each: int = 250_000, rounds: int = 4) -> DataFrame:
-    """``items`` (with a ``length``) and a ``sequence_id`` and ``offset`` for each."""
+    """``items`` (with a ``length``) and ``sequence_id``, ``offset``, ``partition_bins`` and ``partition_bound`` for each."""
     fields = items.schema
     columns = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long, open boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long, partition_bins long, partition_bound long, open boolean"
 
     def run(number: int, last: bool):
         def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             lengths = part["length"].to_numpy()
             bins, offsets, held = best_fit_decreasing(lengths, capacity)
-            gap = not last and len(held) > lower_bound(lengths, capacity)
-            return part[columns].assign(sequence_id=(number << 58) + (int(key[0]) << 32) + bins, offset=offsets, open=gap & (held[bins] < capacity))
+            bound = lower_bound(lengths, capacity)
+            gap = not last and len(held) > bound
+            return part[columns].assign(sequence_id=(number << 58) + (int(key[0]) << 32) + bins, offset=offsets, partition_bins=len(held), partition_bound=bound, open=gap & (held[bins] < capacity))
 
         return fill
 
+    def sequences(of: DataFrame) -> int:
+        return of.select("sequence_id").distinct().count()
+
     done: list[DataFrame] = []
-    rest = items
+    rest, before = items, None
     for number in range(rounds):
         n = rest.count()
         parts = max(1, -(-n // pieces_each))
         last = parts == 1 or number == rounds - 1
         salted = rest.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit(number)), F.lit(parts)))
         packed = stored(salted.groupBy("_part").applyInPandas(run(number, last), schema), "packed")
+        if before is not None and sequences(packed) > sequences(before):
+            done.append(before.drop("open"))
+            break
         done.append(packed.where("not open").drop("open"))
         if last:
             break
-        rest = packed.where("open").select(*columns)
+        before = packed.where("open")
+        rest = before.select(*columns)
         if rest.isEmpty():
             break
     out = done[0]
@@ -149,5 +163,5 @@ def pack(items: DataFrame, capacity: int, pieces_each: int = 250_000, rounds: in
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, pieces_each: int = 250_000, rounds: int = 4) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` of every piece of ``docs``."""
+    """``(doc_id, piece, start, length, ids_crc32)`` of every piece of ``docs``, with its place and certificate as ``pack`` gives them."""
     return pack(stored(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity, pieces_each, rounds)

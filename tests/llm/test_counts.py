@@ -103,6 +103,38 @@ def test_packing_rounds(spark):
     alone = len(packing.best_fit_decreasing(lengths, 100)[2])
     n = len({r.sequence_id for r in got})
     assert packing.lower_bound(lengths, 100) <= n <= alone + 12
+    assert all(0 < r.partition_bound <= r.partition_bins for r in got)
+
+
+def test_packing_keeps_the_better_of_two_rounds(spark, monkeypatch):
+    """A second round that takes more sequences than the first had is given up."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(20, 60, 1500))], "id long, length long")
+    once = len({r.sequence_id for r in packing.pack(items, 100, pieces_each=300, rounds=1).collect()})
+    best_fit = packing.best_fit_decreasing
+
+    def worse(lengths, capacity):
+        """Each in a sequence of its own where few are left."""
+        if len(lengths) >= 250:
+            return best_fit(lengths, capacity)
+        return np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths
+
+    monkeypatch.setattr(packing, "best_fit_decreasing", worse)
+    monkeypatch.setattr(packing, "lower_bound", lambda lengths, capacity: 1)
+    got = packing.pack(items, 100, pieces_each=300).collect()
+    assert sorted((r.id, r.length) for r in got) == sorted((r.id, r.length) for r in items.collect())
+    check_sequences(got, 100)
+    assert len({r.sequence_id for r in got}) <= once
+
+
+def test_packing_certifies_a_single_partition(spark):
+    """Halves and wholes need exactly what they get; three of five eighths can't share, and the bound says so."""
+    items = spark.createDataFrame([(i, x) for i, x in enumerate([50, 50, 100, 62, 62, 62])], "id long, length long")
+    got = packing.pack(items, 100).collect()
+    assert {(r.partition_bins, r.partition_bound) for r in got} == {(5, 5)}
+    assert len({r.sequence_id for r in got}) == 5
 
 
 def test_lower_bound_is_a_bound():
