@@ -19,7 +19,7 @@ benchmark hits nothing; an empty document table gives an empty result.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 from ._shared import free_name, quoted, stored
 from ._text import LOWER, Texts, blocks, span_hashes, tidy, words
 
+Search = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Bytes that no word has (after lower-casing).
 BETWEEN = np.zeros(256, bool)
 BETWEEN[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
@@ -162,18 +163,10 @@ def _shards(benchmark: DataFrame, window: int, shard_words: int, item_column: st
         yield Items(held, window)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_words: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """``(doc_id, text, n_words, spans, n_hit, items)`` of every document.
-
-    ``spans`` are pairs of byte places between which all words are hit; ``items`` the
-    ids, sorted as strings, of the items with a window in the document.
-    """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(quoted(id_column)).alias("doc_id"), F.col(quoted(text_column)).alias("text"))
-    schema = StructType([*ids.schema.fields]).add("n_words", "long").add("spans", ArrayType(ArrayType(LongType()))).add("n_hit", "long").add("items", ArrayType(StringType()))
-    passes = []
+def _searches(benchmark: DataFrame, window: int, shard_words: int, item_column: str, text_column: str) -> Iterator[Search]:
+    """For each group of items a function over batches (doc_id, text) that adds what it finds."""
     for items in _shards(benchmark, window, shard_words, item_column, text_column):
-        sent = spark.sparkContext.broadcast(pickle.dumps(items, pickle.HIGHEST_PROTOCOL))
+        sent = benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(items, pickle.HIGHEST_PROTOCOL))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = pickle.loads(sent.value)
@@ -196,7 +189,27 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_wor
                         spans.append(own)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "n_hit", "items"])
 
-        passes.append(ids.mapInArrow(tidy(run), schema))
+        yield run
+
+
+def _known_by(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, StructType]:
+    """``docs`` as (doc_id, text), and the columns of what a search finds in them."""
+    ids = docs.select(F.col(quoted(id_column)).alias("doc_id"), F.col(quoted(text_column)).alias("text"))
+    return ids, StructType([*ids.schema.fields]).add("n_words", "long").add("spans", ArrayType(ArrayType(LongType()))).add("n_hit", "long").add("items", ArrayType(StringType()))
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, shard_words: int = 2_000_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+    """``(doc_id, text, n_words, spans, n_hit, items)`` of every document.
+
+    ``spans`` are pairs of byte places between which all words are hit; ``items`` the
+    ids, sorted as strings, of the items with a window in the document.
+    """
+    ids, schema = _known_by(docs, id_column, text_column)
+    return _found(ids, schema, list(_searches(benchmark, window, shard_words, item_column, text_column)))
+
+
+def _found(ids: DataFrame, schema: StructType, searches: list[Search]) -> DataFrame:
+    passes = [ids.mapInArrow(tidy(run), schema) for run in searches]
     if len(passes) == 1:
         return passes[0]
     return _together(passes, schema)
@@ -233,26 +246,35 @@ def items_digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ",").cast("binary"), 256)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_coverage: float = 0.5, text_column: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_coverage: float = 0.5, shard_words: int = 2_000_000, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """``docs`` with the hit spans cut out of their texts; a document hit in more than ``most_coverage`` of its words goes.
 
-    All columns of ``docs`` stay as they are, but for the text.
+    All columns of ``docs`` stay as they are, but for the text. Items that fit one search
+    are searched and cut by the same Python worker.
     """
     row = free_name(docs, "row")
     packed = docs.withColumn(row, F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]))
-    found = find_items(packed, benchmark, window, id_column=row, text_column=text_column, **options).where(F.col("n_hit") <= F.col("n_words") * most_coverage)
+    ids, schema = _known_by(packed, row, text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if spans:
-                    raw = text.encode()
-                    keep = [0, *[x for span in spans for x in span], len(raw)]
-                    text = b"".join(raw[a:b] for a, b in list(pairwise(keep))[::2]).decode()
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
-
-    schema = StructType().add("row", packed.schema[row].dataType).add("text", "string")
-    kept = found.select("doc_id", "text", "spans").mapInArrow(tidy(cut), schema)
+            n_words, n_hit = (batch.column(k).to_numpy() for k in (2, 4))
+            batch = batch.filter(pa.array(n_hit <= n_words * most_coverage))
+            texts, spans = batch.column(1), batch.column(3).to_pylist()
+            if any(spans):
+                out = texts.to_pylist()
+                for k, own in enumerate(spans):
+                    if own:
+                        raw = out[k].encode()
+                        keep = [0, *[x for span in own for x in span], len(raw)]
+                        out[k] = b"".join(raw[a:b] for a, b in list(pairwise(keep))[::2]).decode()
+                texts = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
+
+    after = StructType().add("row", packed.schema[row].dataType).add("text", "string")
+    searches = list(_searches(benchmark, window, shard_words, item_column, text_column))
+    if len(searches) == 1:
+        kept = ids.mapInArrow(tidy(lambda batches: cut(searches[0](batches))), after)
+    else:
+        kept = _found(ids, schema, searches).mapInArrow(tidy(cut), after)
     return kept.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

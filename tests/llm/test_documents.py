@@ -243,10 +243,12 @@ def test_automaton_against_all_stretches():
         assert auto.lengths(text) == want
 
 
-def test_remove_spans_cuts_only_hits(spark):
+@pytest.mark.parametrize("shard_words", [2_000_000, 1])
+def test_remove_spans_cuts_only_hits(spark, shard_words):
+    """With all items in one search, and with a search for each item."""
     docs = spark.createDataFrame([(1, f"Before it. {PASSAGE}, after it: " + "clean words here " * 60, "x"), (2, PASSAGE, "x"), (3, None, "x"), (4, "untouched\n text ", "x")], "doc_id long, text string, items string")
-    bench = spark.createDataFrame([(1, PASSAGE.upper())], "item_id long, text string")
-    got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench).collect()}
+    bench = spark.createDataFrame([(1, PASSAGE.upper()), (2, "an item that no document here has at all")], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench, shard_words=shard_words).collect()}
     assert got == {1: "Before it. , after it: " + "clean words here " * 60, 3: None, 4: "untouched\n text "}
 
 
