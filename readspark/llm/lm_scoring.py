@@ -1,9 +1,13 @@
 """Scoring texts with a smoothed n-gram model, as a weighted backoff automaton.
 
-Method: the model is a word bigram with absolute discounting, interpolated with an
-add-one unigram. Its automaton has a root, a state for each word that was seen in
-training (and one for the start of a text), an arc for each bigram seen, and a failure
-arc from each state to the root with the mass that discounting frees. One traversal from
+Method: the model is a word trigram, interpolated with a bigram as its prior, which is
+interpolated with an add-one unigram by absolute discounting. Its automaton has a root,
+a state for each word that was seen in training (and one for the start of a text), and a
+state for each bigram seen. Arcs lead along the trigrams and bigrams seen, always to the
+state of the longest context seen; a state without an arc for the next word takes its
+failure arc, from a bigram to its second word and from a word to the root, each with the
+weight that is left for words not seen there. The weight of a bigram that came n times is
+prior / (n + prior): it needs no more than the bigram's own count. One traversal from
 left to right carries the state and adds up log-probabilities; in arrays, all documents
 of a block move on together.
 
@@ -13,9 +17,11 @@ by context to shards; a shard sums over blocks and sends back, in the order rece
 sums that the block needs: the block's automaton is the part of the model that its own
 texts can reach. Contexts that hold more than a share ``hot_share`` of a block are
 candidates for heavy ones; at most ``1 / hot_share`` are, and their bigrams are dealt by
-both words, with their totals summed apart.
+both words, with their totals summed apart. Trigrams are dealt by a hash of all three
+words, so that no context gathers them.
 
-Bigrams are known by 64 bits of the context's hash and 48 bits of the follower's; that
+Trigrams are known by their shard and 44 bits of a hash; a shard's share of the input is
+bounded, so that two of its trigrams collide by chance only. Bigrams are known by 64 bits of the context's hash and 48 bits of the follower's; that
 some of 10^9 followers of one context collide changes a count by chance only.
 
 Defined cases: a null or empty text is the end token alone; rows with a null ``doc_id``
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +47,9 @@ from ._shared import shards_for, stored
 from ._text import LOWER, Texts, blocks, mix, release, span_hashes, tidy, words
 
 BLOCK_TEXT = 8 << 20
+PRIOR = 2.0
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-_48 = np.uint64((1 << 48) - 1)
+_44, _48 = np.uint64((1 << 44) - 1), np.uint64((1 << 48) - 1)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -110,7 +118,7 @@ class Block:
         return self.hashes[found], n[found]
 
     def deal(self, heavy: np.ndarray, shards: int) -> None:
-        """Sort the distinct bigrams by shard, context and follower."""
+        """Sort the distinct bigrams by shard, context and follower, and the distinct trigrams by shard and hash."""
         size = len(self.hashes)
         pair, inverse = np.unique(self.previous() * size + self.tokens, return_inverse=True)
         self.n = np.bincount(inverse[self.train], minlength=len(pair))
@@ -122,6 +130,25 @@ class Block:
         self.n, self.context, self.follower, self.shard = self.n[order], context[order], follower[order], shard[order]
         self.h, self.f = h[order], f[order]
         self.bounds = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.key = (context * size + follower)[order]  # of each bigram
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self._deal_trigrams(rank[inverse], shards)
+
+    def _deal_trigrams(self, at: np.ndarray, shards: int) -> None:
+        """``at``: the place of the bigram that ends at each token. A trigram is two bigrams that overlap."""
+        inner = np.ones(len(at), bool)
+        inner[self.ends - self.counts] = False
+        inner = np.flatnonzero(inner)
+        _, one, inverse = np.unique(at[inner - 1] * len(self.hashes) + self.tokens[inner], return_index=True, return_inverse=True)
+        n = np.bincount(inverse[self.train[inner]], minlength=len(one))
+        del inverse
+        prefix, suffix = at[inner[one] - 1], at[inner[one]]
+        h = mix(mix(self.h[prefix] ^ np.uint64(0x3C6EF372FE94F82B)) + mix(self.h[suffix]) * np.uint64(0xA54FF53A5F1D36F1) + self.f[suffix])
+        shard, key = ((h >> np.uint64(44)) % np.uint64(shards)).astype(np.int64), h & _44
+        order = np.lexsort((key, shard))
+        self.n3, self.prefix, self.suffix, self.key3 = n[order], prefix[order], suffix[order], key[order]
+        self.bounds3 = np.searchsorted(shard[order], np.arange(shards + 1))
 
     def groups(self, shard: int) -> tuple[slice, np.ndarray]:
         """A shard's bigrams, and where each context of theirs begins."""
@@ -131,33 +158,46 @@ class Block:
 
 
 class Automaton:
-    """States 0 (root), 1 .. n (places of words, and of the start), arcs sorted by state and word."""
-
-    def __init__(self, arcs: np.ndarray, weights: np.ndarray, fail: np.ndarray, root: np.ndarray, known: np.ndarray) -> None:
-        self.arcs, self.weights, self.fail, self.root, self.known = arcs, weights, fail, root, known
+    """States 0 (root), then words, then bigrams. Arcs are sorted by state and word; the root has one for every word."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, targets: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, root: np.ndarray, root_to: np.ndarray) -> None:
+        self.keys, self.weights, self.targets = keys, weights, targets
+        self.fail, self.fail_to, self.root, self.root_to = fail, fail_to, root, root_to
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the words; ``state`` moves on. Failure arcs are followed until an arc is there."""
+        gain, left = np.zeros(len(word)), np.arange(len(word))
+        while len(left):
+            if len(self.keys):
+                key = state[left] * len(self.root) + word[left]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[place] == key
+                there, place = left[hit], place[hit]
+                gain[there] += self.weights[place]
+                state[there] = self.targets[place]
+                left = left[~hit]
+            ends = state[left] == 0
+            there, left = left[ends], left[~ends]
+            gain[there] += self.root[word[there]]
+            state[there] = self.root_to[word[there]]
+            gain[left] += self.fail[state[left]]
+            state[left] = self.fail_to[state[left]]
+        return gain
 
     def score(self, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, start_state: int) -> np.ndarray:
         """The sum of log-probabilities of each text; all texts move on by one token at a time."""
         order = np.argsort(-counts, kind="stable")
         lengths, at = counts[order], starts[order]
-        total, size = np.zeros(len(counts)), len(self.root)
-        state = np.full(len(counts), start_state)
+        total, state = np.zeros(len(counts)), np.full(len(counts), start_state)
         for step in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -step, "left"))  # texts longer than step
-            word, now = tokens[at[:live] + step], state[:live]
-            key = now * size + word
-            place = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-            hit = self.arcs[place] == key if len(self.arcs) else np.zeros(live, bool)
-            gain = self.fail[now] + self.root[word]
-            gain[hit] = self.weights[place[hit]]
-            total[:live] += gain
-            state[:live] = np.where(self.known[word], word + 1, 0)
+            total[:live] += self.step(state[:live], tokens[at[:live] + step])
         out = np.empty_like(total)
         out[order] = total
         return out
 
 
-def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, prior: float = PRIOR, hot_share: float = 0.002, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every document, by a model of those not held out."""
     kind = docs.schema[id_column].dataType.simpleString()
     shards = shards_for(docs, 16 << 20)
@@ -190,10 +230,25 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
                     if len(begins):
                         sizes = np.diff(np.append(begins, own.stop - own.start))
                         rows.append((s, name, pack(block.h[own][begins], ascending=True), pack(sizes.astype(np.uint32)), pack(block.f[own]), pack(block.n[own].astype(np.uint32))))
+                    own3 = slice(block.bounds3[s], block.bounds3[s + 1])
+                    if own3.stop > own3.start:
+                        rows.append((shards + s, name, None, None, pack(block.key3[own3], ascending=True), pack(block.n3[own3].astype(np.uint32))))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "block", "contexts", "sizes", "followers", "n"])
 
+    def add_up_trigrams(part: pd.DataFrame) -> pd.DataFrame:
+        keys, n = ([unpack(x) for x in part[c]] for c in ("followers", "n"))
+        cut = np.cumsum([len(x) for x in keys])[:-1]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, np.concatenate(n), len(distinct)).astype(np.uint32)
+        out = pd.DataFrame({"block": part["block"].astype("Int64"), "n": [pack(x) for x in np.split(total[place], cut)]})
+        release()
+        out = out.assign(kind=2, shard=part["shard"].iloc[0], sums=None, kinds=None, **{c: pd.array([None] * len(out), "Int64") for c in ("context", "a", "b", "c")})
+        return out[["kind", "shard", "block", "n", "sums", "kinds", "context", "a", "b", "c"]]
+
     def add_up(part: pd.DataFrame) -> pd.DataFrame:
+        if part["shard"].iloc[0] >= shards:
+            return add_up_trigrams(part)
         contexts, sizes, f, n = ([unpack(x) for x in part[c]] for c in ("contexts", "sizes", "followers", "n"))
         groups = np.array([len(x) for x in contexts])
         lengths = np.array([len(x) for x in f])
@@ -242,7 +297,8 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
     def finish(part: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         order = np.argsort(back["shard"].to_numpy())
-        replies = back.take(pa.array(order))
+        both = back.take(pa.array(order))
+        replies, trigrams = both.filter(pc.less(both["shard"], shards)), both.filter(pc.greater_equal(both["shard"], shards))
         for ids, *packed in zip(*[part[c].to_pylist() for c in ("ids", *cells[1:])], strict=True):
             block = Block(*packed)
             block.deal(heavy, shards)
@@ -264,11 +320,21 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
             with np.errstate(divide="ignore", invalid="ignore"):
                 free = np.where(count > 0, discount * follow / count, 1.0)
             seen_pairs = np.flatnonzero(n > 0)
-            c, f = block.context[seen_pairs], block.follower[seen_pairs]
-            p = (n[seen_pairs] - discount) / count[c] + free[c] * root[f]
-            keys = (c + 1) * len(root) + f
+            c, f = block.context, block.follower
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(n > 0, (n - discount) / count[c], 0.0) + free[c] * root[f]
+            n3 = np.concatenate([unpack(x) for x in trigrams["n"].to_pylist()] or [np.zeros(0)]).astype(np.int64)
+            seen3 = np.flatnonzero(n3)
+            h, g = block.prefix[seen3], block.suffix[seen3]
+            p3 = (n3[seen3] + prior * p[g]) / (n[h] + prior)
+            size = len(root)
+            keys = np.concatenate([block.key[seen_pairs] + size, (h + size + 1) * size + f[g]])
             by_key = np.argsort(keys)
-            automaton = Automaton(keys[by_key], np.log10(p[by_key]), np.concatenate([[0.0], np.log10(free)]), np.log10(root), count > 0)
+            weights, targets = np.log10(np.concatenate([p[seen_pairs], p3]))[by_key], np.concatenate([seen_pairs, g])[by_key] + size + 1
+            fail = np.concatenate([[0.0], np.log10(free), np.log10(prior / (n + prior))])
+            fail_to = np.concatenate([np.zeros(size + 1, np.int64), f + 1])
+            automaton = Automaton(keys[by_key], weights, targets, fail, fail_to, np.log10(root), np.where(count > 0, np.arange(size) + 1, 0))
+            del keys, by_key, weights, targets, p3, n3
             starts = block.ends - block.counts
             scores = automaton.score(block.tokens, starts, block.counts, block.start + 1 if count[block.start] else 0)
             base = np.add.reduceat(np.log10(root)[block.tokens], starts)
@@ -281,5 +347,5 @@ def score(docs: DataFrame, held: Column | None = None, hot_share: float = 0.002,
             return pa.table([pa.array([], k) for k in kinds_], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return pa.concat_tables(out)
 
-    replies = summed.where("kind = 0").select("block", "shard", "n", "sums", "kinds")
+    replies = summed.where("kind != 1").select("block", "shard", "n", "sums", "kinds")
     return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

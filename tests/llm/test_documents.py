@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from readspark.llm import _components, decontaminate, queries, simhash, substring_dedup
+from readspark.llm import _components, decontaminate, lm_scoring, queries, simhash, substring_dedup
 
 from .conftest import AWKWARD, DATA, PASSAGE, documents, rows_of, write
 
@@ -34,13 +34,14 @@ def remainder(doc_id, k):
 def lm_by_hand(rows):
     docs = [(r["doc_id"], remainder(r["doc_id"], 7) in (2, None), [*WORD.findall(lower(r["text"])), None]) for r in rows]
     train = [t for _, held, t in docs if not held]
-    uni, bi, ctx, kinds = Counter(), Counter(), Counter(), defaultdict(set)
+    uni, bi, tri, ctx, kinds = Counter(), Counter(), Counter(), Counter(), defaultdict(set)
     for t in train:
         for a, b in zip(["<s>", *t], t, strict=False):
             uni[b] += 1
             bi[a, b] += 1
             ctx[a] += 1
             kinds[a].add(b)
+        tri.update(zip(["<s>", *t], t, t[1:], strict=False))
     total, distinct = sum(uni.values()), len(uni)
     once, twice = sum(n == 1 for n in bi.values()), sum(n == 2 for n in bi.values())
     d = once / (once + 2 * twice) if once and twice else 0.5
@@ -48,11 +49,13 @@ def lm_by_hand(rows):
     out = []
     for doc_id, held, t in docs:
         base = score = 0.0
-        for a, b in zip(["<s>", *t], t, strict=False):
+        for z, a, b in zip([None, "<s>", *t], ["<s>", *t], t, strict=False):
             base += math.log10(root(b))
             p = root(b)
             if ctx[a]:
                 p = max(bi[a, b] - d, 0) / ctx[a] + d * len(kinds[a]) / ctx[a] * root(b)
+            if z is not None:
+                p = (tri[z, a, b] + lm_scoring.PRIOR * p) / (bi[z, a] + lm_scoring.PRIOR)
             score += math.log10(p)
         out.append((str(doc_id), held, len(t), sum(uni[w] > 0 for w in t), total, base, score))
     return out
