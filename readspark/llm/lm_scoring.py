@@ -130,25 +130,28 @@ class Block:
         self.n, self.context, self.follower, self.shard = self.n[order], context[order], follower[order], shard[order]
         self.h, self.f = h[order], f[order]
         self.bounds = np.searchsorted(self.shard, np.arange(shards + 1))
-        self.key = (context * size + follower)[order]  # of each bigram
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self._deal_trigrams(rank[inverse], shards)
+        self.at = rank[inverse].astype(np.int32)  # the bigram that ends at each token
+        self._deal_trigrams(self.at, shards)
 
     def _deal_trigrams(self, at: np.ndarray, shards: int) -> None:
-        """``at``: the place of the bigram that ends at each token. A trigram is two bigrams that overlap."""
+        """A trigram is two bigrams of ``at`` that overlap."""
         inner = np.ones(len(at), bool)
         inner[self.ends - self.counts] = False
         inner = np.flatnonzero(inner)
-        _, one, inverse = np.unique(at[inner - 1] * len(self.hashes) + self.tokens[inner], return_index=True, return_inverse=True)
-        n = np.bincount(inverse[self.train[inner]], minlength=len(one))
-        del inverse
-        prefix, suffix = at[inner[one] - 1], at[inner[one]]
-        h = mix(mix(self.h[prefix] ^ np.uint64(0x3C6EF372FE94F82B)) + mix(self.h[suffix]) * np.uint64(0xA54FF53A5F1D36F1) + self.f[suffix])
-        shard, key = ((h >> np.uint64(44)) % np.uint64(shards)).astype(np.int64), h & _44
-        order = np.lexsort((key, shard))
-        self.n3, self.prefix, self.suffix, self.key3 = n[order], prefix[order], suffix[order], key[order]
-        self.bounds3 = np.searchsorted(shard[order], np.arange(shards + 1))
+        left, right = mix(self.h ^ np.uint64(0x3C6EF372FE94F82B)), mix(self.h) * np.uint64(0xA54FF53A5F1D36F1) + self.f
+        h = mix(left[at[inner - 1]] + right[at[inner]])
+        place = ((h >> np.uint64(44)) % np.uint64(shards)) << np.uint64(44) | h & _44  # shards are 2^17 at most
+        order = np.argsort(place)
+        place = place[order]
+        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        self.n3 = np.add.reduceat(self.train[inner][order], begins, dtype=np.int64) if len(begins) else begins
+        self.at3 = np.full(len(at), -1, np.int32)  # the trigram that ends at each token
+        self.at3[inner[order]] = np.repeat(np.arange(len(begins), dtype=np.int32), np.diff(np.append(begins, len(order))))
+        one, place = inner[order[begins]], place[begins]
+        self.prefix, self.suffix, self.key3 = at[one - 1], at[one], place & _44
+        self.bounds3 = np.searchsorted(place >> np.uint64(44), np.arange(shards + 1, dtype=np.uint64))
 
     def groups(self, shard: int) -> tuple[slice, np.ndarray]:
         """A shard's bigrams, and where each context of theirs begins."""
@@ -158,40 +161,44 @@ class Block:
 
 
 class Automaton:
-    """States 0 (root), then words, then bigrams. Arcs are sorted by state and word; the root has one for every word."""
+    """States 0 (root), then words, then bigrams. Arcs are trigrams and bigrams, NaN where there is none; the root has one for every word.
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, targets: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, root: np.ndarray, root_to: np.ndarray) -> None:
-        self.keys, self.weights, self.targets = keys, weights, targets
+    ``at3``, ``at`` and ``tokens`` say for each token which arc is its own from a bigram,
+    from a word and from the root, so that none has to be searched for.
+    """
+
+    def __init__(self, tokens: np.ndarray, at: np.ndarray, at3: np.ndarray, weights: np.ndarray, weights3: np.ndarray, fail: np.ndarray, fail_to: np.ndarray, root: np.ndarray, root_to: np.ndarray) -> None:
+        self.tokens, self.at, self.bigrams = tokens, at, len(root) + 1
+        self.levels = [(self.bigrams, at3, weights3), (1, at, weights)]
         self.fail, self.fail_to, self.root, self.root_to = fail, fail_to, root, root_to
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the words; ``state`` moves on. Failure arcs are followed until an arc is there."""
-        gain, left = np.zeros(len(word)), np.arange(len(word))
-        while len(left):
-            if len(self.keys):
-                key = state[left] * len(self.root) + word[left]
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[place] == key
-                there, place = left[hit], place[hit]
-                gain[there] += self.weights[place]
-                state[there] = self.targets[place]
-                left = left[~hit]
-            ends = state[left] == 0
-            there, left = left[ends], left[~ends]
-            gain[there] += self.root[word[there]]
-            state[there] = self.root_to[word[there]]
-            gain[left] += self.fail[state[left]]
-            state[left] = self.fail_to[state[left]]
+    def step(self, state: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the tokens at ``here``; ``state`` moves on. Failure arcs are followed until an arc is there."""
+        gain, searching = np.zeros(len(here)), np.ones(len(here), bool)
+        for lowest, arcs, weights in self.levels:
+            own = np.flatnonzero(searching & (state >= lowest))
+            weight = weights[arcs[here[own]]]
+            miss = np.isnan(weight)
+            there, fallen = own[~miss], own[miss]
+            gain[there] += weight[~miss]
+            state[there] = self.at[here[there]] + self.bigrams
+            searching[there] = False
+            gain[fallen] += self.fail[state[fallen]]
+            state[fallen] = self.fail_to[state[fallen]]
+        rest = np.flatnonzero(searching)
+        word = self.tokens[here[rest]]
+        gain[rest] += self.root[word]
+        state[rest] = self.root_to[word]
         return gain
 
-    def score(self, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, start_state: int) -> np.ndarray:
+    def score(self, starts: np.ndarray, counts: np.ndarray, start_state: int) -> np.ndarray:
         """The sum of log-probabilities of each text; all texts move on by one token at a time."""
         order = np.argsort(-counts, kind="stable")
-        lengths, at = counts[order], starts[order]
+        lengths, first = counts[order], starts[order]
         total, state = np.zeros(len(counts)), np.full(len(counts), start_state)
         for step in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -step, "left"))  # texts longer than step
-            total[:live] += self.step(state[:live], tokens[at[:live] + step])
+            total[:live] += self.step(state[:live], first[:live] + step)
         out = np.empty_like(total)
         out[order] = total
         return out
@@ -319,24 +326,19 @@ def score(docs: DataFrame, held: Column | None = None, prior: float = PRIOR, hot
             root = (unigram + 1) / space
             with np.errstate(divide="ignore", invalid="ignore"):
                 free = np.where(count > 0, discount * follow / count, 1.0)
-            seen_pairs = np.flatnonzero(n > 0)
             c, f = block.context, block.follower
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where(n > 0, (n - discount) / count[c], 0.0) + free[c] * root[f]
             n3 = np.concatenate([unpack(x) for x in trigrams["n"].to_pylist()] or [np.zeros(0)]).astype(np.int64)
-            seen3 = np.flatnonzero(n3)
-            h, g = block.prefix[seen3], block.suffix[seen3]
-            p3 = (n3[seen3] + prior * p[g]) / (n[h] + prior)
-            size = len(root)
-            keys = np.concatenate([block.key[seen_pairs] + size, (h + size + 1) * size + f[g]])
-            by_key = np.argsort(keys)
-            weights, targets = np.log10(np.concatenate([p[seen_pairs], p3]))[by_key], np.concatenate([seen_pairs, g])[by_key] + size + 1
+            prefix, suffix, size = block.prefix, block.suffix, len(root)
+            weights3 = np.where(n3 > 0, np.log10((n3 + prior * p[suffix]) / (n[prefix] + prior)), np.nan)
+            weights = np.where(n > 0, np.log10(p), np.nan)
             fail = np.concatenate([[0.0], np.log10(free), np.log10(prior / (n + prior))])
             fail_to = np.concatenate([np.zeros(size + 1, np.int64), f + 1])
-            automaton = Automaton(keys[by_key], weights, targets, fail, fail_to, np.log10(root), np.where(count > 0, np.arange(size) + 1, 0))
-            del keys, by_key, weights, targets, p3, n3
+            automaton = Automaton(block.tokens, block.at, block.at3, weights, weights3, fail, fail_to, np.log10(root), np.where(count > 0, np.arange(size) + 1, 0))
+            del weights, weights3, p, n3
             starts = block.ends - block.counts
-            scores = automaton.score(block.tokens, starts, block.counts, block.start + 1 if count[block.start] else 0)
+            scores = automaton.score(starts, block.counts, block.start + 1 if count[block.start] else 0)
             base = np.add.reduceat(np.log10(root)[block.tokens], starts)
             n_known = np.add.reduceat((unigram > 0)[block.tokens].astype(np.int64), starts)
             columns = [pa.array(ids, part.schema.field("ids").type.value_type), pa.array(block.held), pa.array(block.counts), pa.array(n_known), pa.array(np.full(len(ids), tokens)), pa.array(base), pa.array(scores)]
