@@ -27,7 +27,8 @@ some of 10^9 followers of one context collide changes a count by chance only.
 Defined cases: a null or empty text is the end token alone; rows with a null ``doc_id``
 are scored and held out, as their remainder is unknown; rows with a repeated ``doc_id``
 are texts of their own, in training too; without training rows every token has the same
-probability; other columns are not read; an empty table gives an empty result.
+probability; a very long text is scored whole, in one block, whose worker has to hold it;
+nothing depends on ties; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
