@@ -19,6 +19,7 @@ from readspark.session import ship
 
 LEAST_QUALITY = 0.7
 LEAST_SIMILARITY = 0.8
+SIMHASH_BITS = 4
 
 
 def _as_they_are(docs: DataFrame) -> list:
@@ -37,12 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep one row with the smallest id of each group of near duplicates; rows with a null id stay.
 
     Near duplicates are texts at a Jaccard similarity of LEAST_SIMILARITY or more over words
-    in fives, found whole and exactly; op5's limit of 4 bits would leave most of them. Rows
-    are known by id and text: different texts under one id are documents of their own, of
+    in fives. Links of SimHash fingerprints over these shingles (SIMHASH_BITS differing bits
+    at most) are compared exactly; the similar pairs that lie further apart, most of them, are
+    searched for after that without loss, so the groups are whole and exact. Rows are known by id and text: different texts under one id are documents of their own, of
     rows alike in both one stays.
     """
     ship(spark)
-    found = stored(near_copies.near_copies(docs.select("doc_id", "text"), LEAST_SIMILARITY, shingle=5).where("doc_id is not null"), "groups")
+    found = stored(near_copies.near_copies(docs.select("doc_id", "text"), LEAST_SIMILARITY, shingle=5, distance=SIMHASH_BITS).where("doc_id is not null"), "groups")
     first = (F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
     key = free_name(docs, "text_hash")
     keys = ["doc_id", key]

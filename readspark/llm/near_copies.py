@@ -1,8 +1,10 @@
-"""Near duplicates by the Jaccard similarity of word shingles, complete and exact.
+"""Near duplicates by SimHash and the Jaccard similarity of word shingles, complete and exact.
 
-A SimHash distance that is small enough to search for misses most pairs at a similarity
-near 0.8 (their fingerprints differ in 10 bits and more), so candidates come from filters
-that lose no pair:
+SimHash comes first: fingerprints over the shingles, linked at ``distance`` bits by the grid
+of ``simhash``, and the two texts of each link are compared exactly. What these links connect
+isn't looked for again. A distance that is small enough to search for misses most pairs at a
+similarity near 0.8 (their fingerprints differ in 10 bits and more), so the pairs that
+SimHash leaves apart are searched for by filters that lose none:
 
 * prefixes: put in one order, the first ``n - ceil(least * n) + 1`` shingles of two similar
   sets share one, and in the smaller set it is among the first
@@ -24,7 +26,8 @@ what is near and not yet connected is brought together in clusters, of which all
 compared; a cluster of more than CHUNK sets is dealt out by pairs of chunks.
 
 Equal sets are one node, named by 64 bits of its shingles' hashes; shingles are compared by
-64-bit hashes. Defined cases: words are lowercased as in ``simhash``; a text of fewer words
+64-bit hashes. A fingerprint counts repeated shingles, so a node may have several; it is
+linked by each. Defined cases: words are lowercased as in ``simhash``; a text of fewer words
 than a shingle is one shingle; texts without words (nulls too) equal each other; a very long
 text is handled whole, alone in its block; ties in the order of shingles are broken by hash;
 rows with a repeated or null ``doc_id`` are documents of their own, known by id and
@@ -48,7 +51,7 @@ from ._codec import pack, unpack
 from ._components import components
 from ._shared import shards_for, stored
 from ._text import LOWER, Texts, blocks, mix, ragged, release, tidy, word_hashes, words
-from .simhash import Forest
+from .simhash import Forest, fingerprints_of, links
 
 #: Documents of the sample that orders shingles, and how many of them have a common one.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
@@ -122,17 +125,26 @@ def _common(docs: DataFrame, shingle: int, every: int) -> tuple[np.ndarray, np.n
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, text_hash, node, n, sketch)`` of each document."""
+    """``(doc_id, text_hash, node, n, fp, sketch)`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in blocks(batch.column(2), 1 << 20):
                 sets, at = shingle_sets(texts, shingle)
                 own = [batch.column(k).slice(texts.first, len(texts)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(_nodes(sets, at)), pa.array(np.diff(at).astype(np.int64)), pa.array(_parities(sets, at), pa.binary())], ["doc_id", "text_hash", "node", "n", "sketch"])
+                fps = fingerprints_of(texts, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_nodes(sets, at)), pa.array(np.diff(at).astype(np.int64)), pa.array(fps), pa.array(_parities(sets, at), pa.binary())], ["doc_id", "text_hash", "node", "n", "fp", "sketch"])
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(tidy(run), keyed.select("doc_id", "text_hash").schema.add("node", LongType()).add("n", LongType()).add("sketch", BinaryType()))
+    return keyed.mapInArrow(tidy(run), keyed.select("doc_id", "text_hash").schema.add("node", LongType()).add("n", LongType()).add("fp", LongType()).add("sketch", BinaryType()))
+
+
+def _linked(described: DataFrame, distance: int, shards: int) -> DataFrame:
+    """``(a, b)``: pairs that connect the nodes whose SimHash fingerprints differ in ``distance`` bits at most."""
+    own = stored(described.where("n > 0").select("fp", "node").distinct(), "fingerprints")
+    first = stored(own.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("nodes")), "first")
+    equal = own.join(first.where("nodes > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b"))
+    return equal.unionByName(links(first, distance, shards)).where("a <> b").distinct()
 
 
 def _groups(docs: DataFrame, shingle: int, least: Fraction, shards: int) -> DataFrame:
@@ -277,19 +289,23 @@ def _candidates(groups: DataFrame, known: DataFrame, least: Fraction, shards: in
     return dealt.groupBy("shard").applyInPandas(run, "anchor long, a long, b long")
 
 
+def _labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """``groups`` with the component (label) of each node."""
+    return groups.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
 def _slices(groups: DataFrame) -> DataFrame:
     """Groups in slices of about GROUP nodes, each with its anchor; and how many there are."""
     sizes = groups.groupBy("anchor").count().where(F.col("count") > GROUP).select("anchor", F.ceil(F.col("count") / GROUP).cast("int").alias("parts"))
     sizes = stored(sizes, "large")
     own = groups.join(sizes, "anchor", "left").select("anchor", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)).alias("i"))
     hubs = sizes.select("anchor", F.col("anchor").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    return own.unionByName(hubs).distinct().select("anchor", "i", F.lit(0).alias("j"), "node", F.col("node").alias("label")), sizes
+    return own.unionByName(hubs).distinct().select("anchor", "i", F.lit(0).alias("j"), "node"), sizes
 
 
 def _unsettled(groups: DataFrame, anchors: DataFrame, roots: DataFrame) -> DataFrame:
     """The parts of ``anchors``' groups in which nodes of different components (node, root) meet, each two of them in one part at least."""
-    own = groups.join(anchors, "anchor", "left_semi").join(roots, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("label"))
-    own = stored(own, "unsettled")
+    own = stored(_labelled(groups.join(anchors, "anchor", "left_semi"), roots), "unsettled")
     of = own.groupBy("anchor", "label").count().groupBy("anchor").agg(F.sum("count").alias("all"), F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"))
     share = lambda n: F.greatest(F.lit(1), F.ceil(n / GROUP)).cast("int")
     of = of.where(F.col("all") > F.col("most")).select("anchor", "main", share(F.col("all")).alias("parts"), share(F.col("all") - F.col("most")).alias("others"))
@@ -393,25 +409,28 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, distance: int = 4) -> DataFrame:
     """``(doc_id, text_hash, root, component_id, component_hash)`` of every document (doc_id, text).
 
     ``component_id`` and ``component_hash`` name the document with the least id (of equal
     ids, the least ``text_hash``) that chains of similar texts reach; they are null where no
-    document with an id is reached.
+    document with an id is reached. ``distance`` is that of the SimHash links; it decides by
+    which way a pair is found, not which pairs are.
     """
     if not 0.5 <= least <= 1 or shingle < 1:
         raise ValueError("least must be from 0.5 to 1, shingle 1 or more")
     share = Fraction(str(least))
     docs, shards = docs.select("doc_id", "text"), shards_for(docs)
     described = stored(_described(docs, shingle), "described")
+    linked = stored(_linked(described, distance, shards), "linked")
+    near = stored(_confirmed(linked, stored(_texts(docs, described, _nodes_of(linked)), "texts"), shingle, share), "near")
     groups = stored(_groups(docs, shingle, share, shards), "groups")
     known = described.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     known = stored(known, "sketches")
     slices, large = _slices(groups)
-    found = stored(_candidates(slices, known, share, shards), "candidates")
+    found = stored(_candidates(_labelled(slices, components(near)), known, share, shards), "candidates")
     pairs = stored(found.select("a", "b").distinct(), "pairs")
-    edges = stored(_confirmed(pairs, stored(_texts(docs, described, _nodes_of(pairs)), "texts"), shingle, share), "confirmed")
+    edges = stored(_confirmed(pairs, stored(_texts(docs, described, _nodes_of(pairs)), "texts"), shingle, share), "confirmed").unionByName(near)
     # A forest with a pair that isn't similar may have taken the place of pairs that are; slices don't meet each other.
     again = stored(found.join(edges, ["a", "b"], "left_anti").select("anchor").unionByName(large.select("anchor")).distinct(), "again")
     if not again.isEmpty():
