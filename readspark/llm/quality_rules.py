@@ -98,11 +98,20 @@ def bucket_floor(b: Column) -> Column:
     return F.call_function("shiftleft", F.pmod(b, F.lit(2 * STEPS)).cast("long"), F.floor(b / (2 * STEPS)).cast("int"))
 
 
+def _few_files(df: DataFrame) -> DataFrame:
+    """A small table, to be written by one task for each core and not by one for each shuffle partition.
+
+    For each file and its folder an executor starts processes that set permissions, and
+    until such a process runs its program, it counts with all of the executor's memory.
+    """
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def thresholds(measured: DataFrame, reach: float = 1.5, least_rows: int = 50) -> DataFrame:
     """``(lang, source, <statistic>_low, <statistic>_high)``, one row for each language and source."""
     stacked = measured.select("lang", "source", F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATISTICS])))
     sketch = stacked.groupBy("lang", "source", "stat", bucket(F.col("value")).alias("b")).agg(F.count("*").alias("n"))
-    sketch = stored(sketch, "sketch")
+    sketch = stored(_few_files(sketch), "sketch")
     merged = {
         "own": sketch,
         "language": sketch.groupBy("lang", "stat", "b").agg(F.sum("n").alias("n")),
@@ -136,7 +145,7 @@ def thresholds(measured: DataFrame, reach: float = 1.5, least_rows: int = 50) ->
 def quality_rules(docs: DataFrame, least_words: int = 50, most_repeated_percent: int = 50, reach: float = 1.5, least_outside: int = 2, least_rows: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Statistics, ``base_failed``, the number of families outside (``n_outside``) and ``kept`` of every document."""
     measured = stored(rates(statistics(docs, id_column, text_column)), "rates")
-    fences = stored(thresholds(measured, reach, least_rows), "thresholds")
+    fences = stored(_few_files(thresholds(measured, reach, least_rows)), "thresholds")
     both = measured.alias("m").join(fences.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeated_percent)
     outside = F.lit(0)

@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
+from readspark import storage
 from readspark.llm import quality_rules, queries, sql
 
 from .conftest import DATA, documents, write
@@ -78,5 +79,28 @@ def test_op2_needs_two_families(spark):
     assert row.n_symbols and row.n_outside == 1 and row.kept
 
 
+def test_op2_writes_small_tables_in_few_files(spark, plain, monkeypatch):
+    """As many as cores, whatever the number of shuffle partitions; the rows stay the same."""
+    files = {}
+
+    def counted(df, name):
+        out = storage.stored(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    want = sorted(queries.op2_quality_rules(spark, plain).collect())
+    monkeypatch.setattr(quality_rules, "stored", counted)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(queries.op2_quality_rules(spark, plain).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    cores = spark.sparkContext.defaultParallelism
+    assert 0 < files["sketch"] <= cores and 0 < files["thresholds"] <= cores
+
+
 def test_empty_table_has_no_fences(spark, bare):
     assert pa.table({"a": []}).num_rows == len(queries.op2_quality_rules(spark, bare).collect()) == 0
