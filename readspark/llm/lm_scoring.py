@@ -48,6 +48,8 @@ from ._shared import shards_for, stored
 from ._text import LOWER, Texts, blocks, mix, release, span_hashes, tidy, words
 
 BLOCK_TEXT = 8 << 20
+#: Bytes of packed bigrams and trigrams that leave a worker at once.
+SENT_BYTES = 1 << 20
 PRIOR = 8.0  # of 0.5, 1, 2, 4, 8 and 32 the best for held-out texts of sf0.1
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _44, _48 = np.uint64((1 << 44) - 1), np.uint64((1 << 48) - 1)
@@ -96,20 +98,33 @@ def tokenised(docs: DataFrame, held: Column, id_column: str = "doc_id", text_col
     return rows.mapInArrow(tidy(run), f"block long, ids array<{kind}>, held binary, counts binary, vocab binary, tokens binary")
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of an ordered array begins."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _numbered(begins: np.ndarray, length: int) -> np.ndarray:
+    """For each place of an ordered array which distinct value is there."""
+    return np.repeat(np.arange(len(begins), dtype=np.int32), np.diff(np.append(begins, length)))
+
+
 class Block:
     """A block's tokens, and its distinct bigrams in the order in which shards get them."""
 
     def __init__(self, held: bytes, counts: bytes, vocab: bytes, tokens: bytes) -> None:
         self.held, self.counts = unpack(held).astype(bool), unpack(counts).astype(np.int64)
-        words_h, self.tokens = unpack(vocab), unpack(tokens).astype(np.int64)
+        words_h, self.tokens = unpack(vocab), unpack(tokens).astype(np.int32)
         self.start = len(words_h)  # the place of the start of a text
         self.hashes = np.append(words_h, START)
         self.ends = np.cumsum(self.counts)
         self.train = np.repeat(~self.held, self.counts)
 
     def previous(self) -> np.ndarray:
-        before = np.concatenate([[self.start], self.tokens[:-1]])
-        before[self.ends[:-1]] = self.start
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.ends - self.counts] = self.start
         return before
 
     def hot(self, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,39 +135,66 @@ class Block:
 
     def deal(self, heavy: np.ndarray, shards: int) -> None:
         """Sort the distinct bigrams by shard, context and follower, and the distinct trigrams by shard and hash."""
+        # Arrays as long as the block are freed or narrowed as soon as they can be: they are most of a worker's memory.
         size = len(self.hashes)
-        pair, inverse = np.unique(self.previous() * size + self.tokens, return_inverse=True)
-        self.n = np.bincount(inverse[self.train], minlength=len(pair))
-        context, follower = pair // size, pair % size
+        pair = self.previous().astype(np.int64)
+        pair *= size
+        pair += self.tokens
+        order = np.argsort(pair)
+        pair = pair[order]
+        begins = _begins(pair)
+        inverse = np.empty(len(order), np.int32)
+        inverse[order] = _numbered(begins, len(order))
+        del order
+        pair = pair[begins]
+        n = np.bincount(inverse[self.train], minlength=len(pair)).astype(np.int32)
+        context, follower = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        del pair, begins
         h, f = self.hashes[context], mix(self.hashes[follower]) & _48
-        place = np.where(np.isin(h, heavy), mix(h ^ f), mix(h))
-        shard = (place % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((f, h, shard))
-        self.n, self.context, self.follower, self.shard = self.n[order], context[order], follower[order], shard[order]
+        shard = np.where(np.isin(h, heavy), mix(h ^ f), mix(h))
+        shard = (shard % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((f, h, shard)).astype(np.int32)
+        self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        del shard
         self.h, self.f = h[order], f[order]
-        self.bounds = np.searchsorted(self.shard, np.arange(shards + 1))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.at = rank[inverse].astype(np.int32)  # the bigram that ends at each token
+        del h, f
+        self.n, self.context, self.follower = n[order], context[order], follower[order]
+        del n, context, follower
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        del order
+        self.at = rank[inverse]  # the bigram that ends at each token
+        del rank, inverse
         self._deal_trigrams(self.at, shards)
 
     def _deal_trigrams(self, at: np.ndarray, shards: int) -> None:
         """A trigram is two bigrams of ``at`` that overlap."""
         inner = np.ones(len(at), bool)
         inner[self.ends - self.counts] = False
-        inner = np.flatnonzero(inner)
-        left, right = mix(self.h ^ np.uint64(0x3C6EF372FE94F82B)), mix(self.h) * np.uint64(0xA54FF53A5F1D36F1) + self.f
-        h = mix(left[at[inner - 1]] + right[at[inner]])
-        place = ((h >> np.uint64(44)) % np.uint64(shards)) << np.uint64(44) | h & _44  # shards are 2^17 at most
-        order = np.argsort(place)
+        inner = np.flatnonzero(inner).astype(np.int32)
+        place = mix(self.h ^ np.uint64(0x3C6EF372FE94F82B))[at[inner - 1]]
+        place += (mix(self.h) * np.uint64(0xA54FF53A5F1D36F1) + self.f)[at[inner]]
+        place = mix(place)
+        shard = place >> np.uint64(44)
+        shard %= np.uint64(shards)  # shards are 2^17 at most
+        shard <<= np.uint64(44)
+        place &= _44
+        place |= shard
+        del shard
+        order = np.argsort(place).astype(np.int32)
         place = place[order]
-        begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-        self.n3 = np.add.reduceat(self.train[inner][order], begins, dtype=np.int64) if len(begins) else begins
-        self.at3 = np.full(len(at), -1, np.int32)  # the trigram that ends at each token
-        self.at3[inner[order]] = np.repeat(np.arange(len(begins), dtype=np.int32), np.diff(np.append(begins, len(order))))
-        one, place = inner[order[begins]], place[begins]
-        self.prefix, self.suffix, self.key3 = at[one - 1], at[one], place & _44
+        begins = _begins(place)
+        place = place[begins]
         self.bounds3 = np.searchsorted(place >> np.uint64(44), np.arange(shards + 1, dtype=np.uint64))
+        self.key3 = place & _44
+        del place
+        inner = inner[order]
+        del order
+        self.n3 = np.add.reduceat(self.train[inner], begins, dtype=np.int32) if len(begins) else begins.astype(np.int32)
+        self.at3 = np.full(len(at), -1, np.int32)  # the trigram that ends at each token
+        self.at3[inner] = _numbered(begins, len(inner))
+        one = inner[begins]
+        self.prefix, self.suffix = at[one - 1], at[one]
 
     def groups(self, shard: int) -> tuple[slice, np.ndarray]:
         """A shard's bigrams, and where each context of theirs begins."""
@@ -228,21 +270,35 @@ def score(docs: DataFrame, held: Column | None = None, prior: float = PRIOR, hot
     heavy = np.array([r[0] for r in found.where((F.col("context") != 0) & (F.col("n") >= hot_share * tokens)).select("context").collect()], np.int64).view(np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "block", "contexts", "sizes", "followers", "n"])
+
         for batch in batches:
-            for name, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i in range(len(batch)):
+                name, *packed = (c[i].as_py() for c in batch.columns)
                 block = Block(*packed)
+                del packed
                 block.deal(heavy, shards)
-                rows = []
+                rows, held_bytes = [], 0
                 for s in range(shards):
                     own, begins = block.groups(s)
                     if len(begins):
                         sizes = np.diff(np.append(begins, own.stop - own.start))
                         rows.append((s, name, pack(block.h[own][begins], ascending=True), pack(sizes.astype(np.uint32)), pack(block.f[own]), pack(block.n[own].astype(np.uint32))))
+                        held_bytes += sum(map(len, rows[-1][2:]))
                     own3 = slice(block.bounds3[s], block.bounds3[s + 1])
                     if own3.stop > own3.start:
                         rows.append((shards + s, name, None, None, pack(block.key3[own3], ascending=True), pack(block.n3[own3].astype(np.uint32))))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "block", "contexts", "sizes", "followers", "n"])
+                        held_bytes += sum(map(len, rows[-1][4:]))
+                    if held_bytes >= SENT_BYTES:
+                        yield batch_of(rows)
+                        rows, held_bytes = [], 0
+                if rows:
+                    yield batch_of(rows)
+                del block, rows
+                release()
 
     def add_up_trigrams(part: pd.DataFrame) -> pd.DataFrame:
         keys, n = ([unpack(x) for x in part[c]] for c in ("followers", "n"))
@@ -314,6 +370,7 @@ def score(docs: DataFrame, held: Column | None = None, prior: float = PRIOR, hot
             sums, kinds = (np.concatenate([unpack(x) for x in replies[c].to_pylist()]) for c in ("sums", "kinds"))
             first = np.concatenate([own.start + begins for own, begins in map(block.groups, range(shards))]).astype(np.int64)
             at = block.context[first]
+            del block.h, block.f, block.n, block.key3, block.n3  # what only shards need
             count, follow = np.zeros(len(block.hashes), np.int64), np.zeros(len(block.hashes), np.int64)
             count[at], follow[at] = sums, kinds
             if len(hot_h):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 
 from readspark.llm import _components, decontaminate, lm_scoring, queries, simhash, substring_dedup
+from readspark.llm._codec import pack
 
 from .conftest import AWKWARD, DATA, PASSAGE, documents, rows_of, write
 
@@ -72,6 +74,19 @@ def test_op3(spark, request, folder):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+def test_op3_memory_of_a_block():
+    """Beside the block itself; a worker deals out blocks of more than a million tokens."""
+    rng = np.random.default_rng(1)
+    vocab = np.unique(rng.integers(0, 1 << 63, 30_000).astype(np.uint64))
+    tokens = (rng.zipf(1.3, 300_000) % len(vocab)).astype(np.uint32)
+    block = lm_scoring.Block(pack(np.zeros(500, np.uint8)), pack(np.full(500, 600, np.uint32)), pack(vocab, ascending=True), pack(tokens))
+    tracemalloc.start()
+    block.deal(np.zeros(0, np.uint64), 16)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak <= 60 * len(tokens)  # bytes; 44 measured, 112 before arrays were narrowed and freed
+
+
 def test_op3_probabilities_sum_to_one(spark, tmp_path):
     """After any word, the probabilities of all words that can follow (and of one unknown) sum to 1: scores differ by the last word only."""
     texts = ["a b c a b d", "a c b", "b b a", "c a a b"]
