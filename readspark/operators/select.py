@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log2
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import symbols
 from ..functions.information import SCALE_BITS
-from ..functions.keys import key_array, spec_of
+from ..functions.keys import KeySpec, key_array, spec_of
 from ..storage import stored
 from .models import COLUMN
 
@@ -37,22 +41,62 @@ def frequencies_of(model: DataFrame) -> DataFrame:
 def read_sizes(reads: DataFrame, models: list[tuple[str, DataFrame]], kind: str, size: int) -> DataFrame:
     """``(read_id, model_idx, bytes)``: what each read takes under each model.
 
-    ``models``: key type and contexts (``spec``, ``symbol_prob``). Reads are taken apart
-    once, with the keys of all models in each row, and only sums leave a task. A model's
-    frequencies are broadcast if it has at most SENT contexts; a key without a context has
-    uniform ones.
+    ``models``: key type and contexts (``spec``, ``symbol_prob``). The bits of models of at
+    most SENT contexts are sent to all executors, where a read's are summed up within its
+    row; with a larger model, reads are taken apart and joined. A key without a context
+    has uniform frequencies.
     """
     if not models:
         raise ValueError("at least one model is needed")
     uniform = SCALE_BITS - log2(max(1, int((1 << SCALE_BITS) / size + 0.5)))
-    keys = [key_array(spec_of(name), F.col("acids"), F.col("quals")).alias(f"k{i}") for i, (name, _) in enumerate(models)]
-    steps = reads.select("read_id", F.inline(F.arrays_zip(F.col(COLUMN[kind]).alias("symbol"), *keys)))
-    for i, (_, found) in enumerate(models):
-        found = stored(found.select("spec", "symbol_prob"), "model")
-        bits = frequencies_of(found).select(F.col("spec").alias(f"k{i}"), "symbol", (SCALE_BITS - F.log2("freq")).alias(f"b{i}"))
-        steps = steps.join(F.broadcast(bits) if found.limit(SENT + 1).count() <= SENT else bits, [f"k{i}", "symbol"], "left")
-    sums = steps.groupBy("read_id").agg(*[F.sum(F.coalesce(f"b{i}", F.lit(uniform))).alias(f"b{i}") for i in range(len(models))])
-    return sums.select("read_id", F.inline(F.array(*[F.struct(F.lit(i).alias("model_idx"), coded_bytes(F.col(f"b{i}")).alias("bytes")) for i in range(len(models))])))
+    names = [f"b{i}" for i in range(len(models))]
+    models = [(name, stored(found.select("spec", "symbol_prob"), "model")) for name, found in models]
+    if all(symbols.fits(spec_of(name), kind) and found.limit(SENT + 1).count() <= SENT for name, found in models):
+        sent = reads.sparkSession.sparkContext.broadcast([(spec_of(name), *_bits(found, size, uniform)) for name, found in models])
+        sums = reads.select("read_id", "acids", "quals").mapInArrow(lambda batches: _summed(batches, sent.value, kind), ", ".join(["read_id long", *[f"{b} double" for b in names]]))
+    else:
+        keys = [key_array(spec_of(name), F.col("acids"), F.col("quals")).alias(f"k{i}") for i, (name, _) in enumerate(models)]
+        sums = reads.select("read_id", F.inline(F.arrays_zip(F.col(COLUMN[kind]).alias("symbol"), *keys)))
+        for i, (_, found) in enumerate(models):
+            bits = frequencies_of(found).select(F.col("spec").alias(f"k{i}"), "symbol", (SCALE_BITS - F.log2("freq")).alias(names[i]))
+            sums = sums.join(F.broadcast(bits) if found.limit(SENT + 1).count() <= SENT else bits, [f"k{i}", "symbol"], "left")
+    sums = sums.groupBy("read_id").agg(*[F.sum(F.coalesce(b, F.lit(uniform))).alias(b) for b in names])
+    return sums.select("read_id", F.inline(F.array(*[F.struct(F.lit(i).alias("model_idx"), coded_bytes(F.col(b)).alias("bytes")) for i, b in enumerate(names)])))
+
+
+def _bits(found: DataFrame, size: int, uniform: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, and the bits of each key's symbols; the last row is for a key without a context."""
+    rows = sorted((r["spec"], r["symbol_prob"]) for r in found.collect())
+    probs = np.array([p for _, p in rows], float).reshape(len(rows), size)
+    bits = SCALE_BITS - np.log2(np.maximum(1, np.floor(probs * (1 << SCALE_BITS) + 0.5)))
+    return np.array([k for k, _ in rows], np.int64), np.concatenate([bits, np.full((1, size), uniform)])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], models: list[tuple[KeySpec, np.ndarray, np.ndarray]], kind: str) -> Iterator[pa.RecordBatch]:
+    """``read_id`` and each model's bits of reads that have symbols."""
+    # Where keys are few, a table has each key's row.
+    tables = []
+    for _, keys, _ in models:
+        top = int(keys[-1]) + 1 if len(keys) else 0
+        tables.append(np.full(top + 1, len(keys), np.int32) if top <= 1 << 20 else None)
+        if tables[-1] is not None:
+            tables[-1][keys] = np.arange(len(keys))
+    for batch in batches:
+        reads = symbols.Reads(batch)
+        sums = np.zeros((len(models), batch.num_rows))
+        for window in reads.windows():
+            first, held = window.read[0], window.symbols(kind)
+            for out, table, (spec, keys, bits) in zip(sums, tables, models, strict=True):
+                found = window.keys(spec)
+                if table is not None:
+                    row = table[np.minimum(found, len(table) - 1)]
+                else:
+                    place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                    row = np.where(keys[place] == found, place, len(keys))
+                part = np.bincount(window.read - first, weights=bits[row, held])
+                out[first : first + len(part)] += part
+        some = np.flatnonzero(reads.lengths)
+        yield pa.RecordBatch.from_arrays([batch.column("read_id").take(pa.array(some)), *[pa.array(x[some]) for x in sums]], ["read_id", *[f"b{i}" for i in range(len(models))]])
 
 
 def ranking(sizes: DataFrame) -> DataFrame:
@@ -98,33 +142,67 @@ def best_with_switching(sizes: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.groupBy("block_index").applyInPandas(choose, joined.schema)
 
 
-def medoids(sizes: DataFrame, k: int, seed: int = 404, most_rounds: int = 50) -> list[tuple[int, list[int]]]:
-    """``k`` models and the reads that each suits best, by rounds of assigning and choosing anew.
+def _settled(costs: DataFrame, k: int, seed: int, most_rounds: int) -> tuple[list[int], list[int]]:
+    """The places of ``k`` models in ``costs`` (``read_id``, ``cost``: an array), and how many reads each suits best.
 
-    ``sizes`` are those of the first block, which is bounded. The first models are the
-    cheapest free ones of ``k`` reads in the order of a hash. Ties go to the lower model.
+    A round is one aggregation: for each of the models chosen, the sums of all models over its reads.
     """
-    rows = sizes.groupBy("read_id").pivot("model_idx").agg(F.first("bytes")).orderBy(F.xxhash64("read_id", F.lit(seed)), "read_id").collect()
-    if not rows:
-        return []
-    names = sorted(int(c) for c in rows[0].asDict() if c != "read_id")
-    k = min(k, len(names))
-    cost = [[r[str(m)] for m in names] for r in rows]
+    first = [r["cost"] for r in costs.orderBy(F.xxhash64("read_id", F.lit(seed)), "read_id").select("cost").limit(k).collect()]
+    if not first:
+        return [], []
+    n = len(first[0])
+    k = min(k, n)
     chosen: list[int] = []
-    for line in [*cost[:k], *cost[:1] * (k - len(cost[:k]))]:
-        chosen.append(min((m for m in range(len(names)) if m not in chosen), key=lambda m: (line[m], m)))
-    for _ in range(most_rounds):
-        groups: list[list[int]] = [[] for _ in chosen]
-        for i, line in enumerate(cost):
-            groups[min(range(k), key=lambda c: (line[chosen[c]], c))].append(i)
+    for line in [*first[:k], *first[:1] * (k - len(first[:k]))]:
+        chosen.append(min((m for m in range(n) if m not in chosen), key=lambda m: (line[m], m)))
+    for left in reversed(range(most_rounds + 1)):
+        sums = costs.groupBy(_group(chosen).alias("c")).agg(F.count("*").alias("n"), *[F.sum(F.get("cost", F.lit(m))).alias(f"s{m}") for m in range(n)])
+        groups = {r["c"]: r for r in sums.collect()}
         after: list[int] = []
-        for group in groups:
-            free = [m for m in range(len(names)) if m not in after]
-            after.append(min(free, key=lambda m: (sum(cost[i][m] for i in group), m)) if group else free[0])
-        if after == chosen:
-            break
+        for c in range(k):
+            free = [m for m in range(n) if m not in after]
+            after.append(min(free, key=lambda m: (groups[c][f"s{m}"], m)) if c in groups else free[0])
+        if after == chosen or not left:
+            return chosen, [groups[c]["n"] if c in groups else 0 for c in range(k)]
         chosen = after
-    return [(names[m], sorted(rows[i]["read_id"] for i in group)) for m, group in zip(chosen, groups, strict=True)]
+    raise AssertionError
+
+
+def _group(chosen: list[int]) -> Column:
+    """Which of the chosen models suits a read best, the first of equals."""
+    return F.array_min(F.array(*[F.struct(F.get("cost", F.lit(m)).alias("cost"), F.lit(c).alias("c")) for c, m in enumerate(chosen)]))["c"]
+
+
+def _costs(sizes: DataFrame) -> tuple[list[int], DataFrame]:
+    """The models, and ``(read_id, cost)``: each read's bytes under them, in their order."""
+    names = sorted(r[0] for r in sizes.select("model_idx").distinct().collect())
+    if not names:
+        return [], sizes.select("read_id", F.array().cast("array<bigint>").alias("cost"))
+    costs = sizes.groupBy("read_id").agg(*[F.min(F.when(F.col("model_idx") == m, F.col("bytes"))).alias(f"m{m}") for m in names])
+    return names, costs.select("read_id", F.array(*[F.col(f"m{m}") for m in names]).cast("array<bigint>").alias("cost"))
+
+
+def medoid_sums(sizes: DataFrame, k: int, seed: int = 404, most_rounds: int = 50) -> list[tuple[int, int]]:
+    """``k`` models and how many reads each suits best; as ``medoids``, for any number of reads."""
+    names, costs = _costs(stored(sizes, "sizes"))
+    chosen, n = _settled(stored(costs, "costs"), k, seed, most_rounds)
+    return [(names[m], x) for m, x in zip(chosen, n, strict=True)]
+
+
+def medoids(sizes: DataFrame, k: int, seed: int = 404, most_rounds: int = 50) -> list[tuple[int, list[int]]]:
+    """``k`` models and the reads that each suits best, by rounds of assigning and choosing anew.
+
+    The reads' numbers are collected, so that ``sizes`` are those of a block; ``medoid_sums``
+    is for more. The first models are the cheapest free ones of ``k`` reads in the order of
+    a hash. Ties go to the lower model.
+    """
+    names, costs = _costs(stored(sizes, "sizes"))
+    costs = stored(costs, "costs")
+    chosen, _ = _settled(costs, k, seed, most_rounds)
+    if not chosen:
+        return []
+    groups = {r["c"]: sorted(r["reads"]) for r in costs.groupBy(_group(chosen).alias("c")).agg(F.collect_list("read_id").alias("reads")).collect()}
+    return [(names[m], groups.get(c, [])) for c, m in enumerate(chosen)]
 
 
 def file_level_count(quality: int) -> int:
