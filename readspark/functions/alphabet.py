@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +22,25 @@ def base_codes(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(checked, ""), code))
 
 
+def _text(codes: pa.Array, letters: bytes) -> pa.Array:
+    """Strings of the letters of codes."""
+    offsets = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=offsets[1:])
+    values = np.frombuffer(letters, np.uint8)[codes.flatten().to_numpy(zero_copy_only=False)]
+    out = pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())).cast(pa.string())
+    return pc.if_else(codes.is_valid(), out, pa.scalar(None, pa.string())) if codes.null_count else out
+
+
+def _base_text(codes: pa.Array) -> pa.Array:
+    return _text(codes, BASES.encode())
+
+
+def _quality_text(codes: pa.Array) -> pa.Array:
+    return _text(codes, bytes(range(FIRST_QUALITY, FIRST_QUALITY + N_QUALITIES)))
+
+
 def base_text(codes: Column) -> Column:
-    return F.array_join(F.transform(codes, lambda c: F.substring(F.lit(BASES), c + 1, F.lit(1))), "")
+    return F.arrow_udf(_base_text, "string")(codes)
 
 
 def quality_codes(text: Column) -> Column:
@@ -29,7 +49,7 @@ def quality_codes(text: Column) -> Column:
 
 
 def quality_text(codes: Column) -> Column:
-    return F.array_join(F.transform(codes, lambda q: F.char(q + FIRST_QUALITY)), "")
+    return F.arrow_udf(_quality_text, "string")(codes)
 
 
 def fastq_size(identifier: Column, n: Column) -> Column:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ from ..functions.alphabet import BASES, FIRST_QUALITY, N_QUALITIES, base_text, q
 
 SCHEMA = "part long, place long, identifier string, acids array<int>, quals array<int>, size long"
 _CODES = {c: k for k, c in enumerate(BASES.encode())}
+_TO_CODES = bytes(_CODES.get(c, 255) for c in range(256))
+_QUALITIES = bytes(range(FIRST_QUALITY, FIRST_QUALITY + N_QUALITIES))
+#: Symbols of a batch of records.
+BATCH = 1 << 20
 _ONLY_BASES = re.compile(rb"[ACGTN]*")
 
 
@@ -76,8 +81,8 @@ class _Lines:
         return line.rstrip(self.delimiter), size
 
 
-def parse(lines: _Lines, start: int, stop: int) -> Iterator[tuple[str, list[int], list[int], int]]:
-    """The records that begin before ``stop``, from a record's beginning (or white space before it)."""
+def parse(lines: _Lines, start: int, stop: int) -> Iterator[tuple[str, bytes, bytes, int]]:
+    """The records that begin before ``stop`` (title, codes of bases, qualities as text, size), from a record's beginning (or white space before it)."""
     at = start
     while True:
         skipped = 0
@@ -113,11 +118,11 @@ def parse(lines: _Lines, start: int, stop: int) -> Iterator[tuple[str, list[int]
         if not mark.startswith(b"+"):
             raise InvalidFormat
         low, high = FIRST_QUALITY, FIRST_QUALITY + N_QUALITIES
-        if any(not low <= c < high for c in quals):
+        if quals.translate(None, _QUALITIES):
             raise InvalidQualityScore(chr(next(c for c in quals if not low <= c < high)))
         if len(acids) != len(quals):
             raise LengthMismatch
-        yield title[1:].decode("utf-8", "replace").strip(), [_CODES[c] for c in acids], [c - low for c in quals], used + skipped
+        yield title[1:].decode("utf-8", "replace").strip(), acids.translate(_TO_CODES), quals, used + skipped
 
 
 def first_record(file: pa.NativeFile, at: int, delimiter: bytes = b"\n") -> int | None:
@@ -170,14 +175,30 @@ class FastqReader(DataSourceReader):
                 out.append(_Range(len(out), root + f.path, start, min(start + self.split, f.size)))
         return out
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         fs, path = _open(partition.path)
         with fs.open_input_file(path) as file:
             begin = first_record(file, partition.start, self.delimiter)
             if begin is None or begin >= partition.stop:
                 return
-            for place, record in enumerate(parse(_Lines(file, begin, self.delimiter), begin, partition.stop)):
-                yield (partition.number, place, *record)
+            rows, held, place = [], 0, 0
+            for record in parse(_Lines(file, begin, self.delimiter), begin, partition.stop):
+                rows.append(record)
+                held += len(record[1])
+                if held >= BATCH or len(rows) >= 10_000:
+                    yield _batch(partition.number, place, rows)
+                    rows, held, place = [], 0, place + len(rows)
+            if rows:
+                yield _batch(partition.number, place, rows)
+
+
+def _batch(part: int, place: int, rows: list[tuple[str, bytes, bytes, int]]) -> pa.RecordBatch:
+    """Records as a batch of SCHEMA."""
+    titles, acids, quals, sizes = zip(*rows, strict=True)
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in acids])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(x), np.uint8).astype(np.int32) - low)) for x, low in ((acids, 0), (quals, FIRST_QUALITY))]
+    columns = [pa.array(np.full(len(rows), part, np.int64)), pa.array(np.arange(place, place + len(rows))), pa.array(titles, pa.string()), *lists, pa.array(sizes, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "place", "identifier", "acids", "quals", "size"])
 
 
 class FastqSource(DataSource):
